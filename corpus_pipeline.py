@@ -1,15 +1,72 @@
-"""Documents to a training mix."""
+"""Documents to an encoded training mix: five stages, each on all that the one before kept.
+
+``run`` writes each stage's rows as Parquet to the shared folder and reads them back as the next stage's input. All
+stages but the last return the columns of ``documents``. Tables that a stage's operator staged for itself are deleted
+when the next stage starts, so the stage's rows must have been written by then.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.llm import common, language, mixing, near_dedup, piece_bpe, secrets
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: null text, or not one letter. Learns from the input's own labels."""
+    common.clear_staged(spark)
+    rows = language.predicted(docs, language.train(docs))
+    return rows.where(F.col("lang_pred") != language.UNKNOWN).select("rec.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: sets of 5-word shingles, similarity of 0.8."""
+    common.clear_staged(spark)
+    return near_dedup.deduplicated(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; confirmed secrets in its text are replaced by a mask."""
+    common.clear_staged(spark)
+    return secrets.redacted(docs, secrets.train(secrets.labelled_findings(spark))).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times (0 to 3) as the mix takes it."""
+    common.clear_staged(spark)
+    rows = mixing.mixed(docs).where("copies > 0")
+    return rows.select("rec", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("rec.*")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every copy in the mix."""
+    common.clear_staged(spark)
+    return piece_bpe.digests(piece_bpe.encoded(docs, keep=("doc_id",)).select("rec.doc_id", "ids", "decoded"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_dedup", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("sentencepiece", encode),
+]
+
+#: SQL can't express the forest, the knapsack or the encoder; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage over the table ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, function in STAGES:
+        out = function(spark, docs, sf_dir)
+        path = common.work_path(spark, f"pipeline-{name}")
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    return docs

@@ -42,13 +42,19 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     expressions that differ between evaluations (row numbers of a scan) one fixed value."""
     path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear_work(spark: SparkSession) -> None:
-    """Delete this application's staged tables, once no DataFrame that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+_staged: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete the tables that ``stage`` wrote so far. Only for a caller that knows that no DataFrame reads them any more:
+    the pipeline, whose stages are written out before the next one starts."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slots(spark: SparkSession) -> int:
