@@ -4,7 +4,7 @@
 2. Every source has a target from the weights. A source takes each of its documents as many whole times as the target
    holds its size; what is left is its budget.
 3. The budget is filled from the histogram: of every length the same share of documents, longer lengths first while room
-   is left, and the last words by a bounded-knapsack dynamic programme over short lengths.
+   is left, and the last words by a bounded-knapsack dynamic programme over the shorter lengths.
 4. Of each length the wanted number of documents is chosen by a seeded hash. Where a length has very many documents, the
    hash first deals them into buckets; counts of buckets say which are taken whole, and only one is ranked.
 
@@ -27,8 +27,8 @@ MOST = 3
 SEED = 20240611
 #: Documents of one length that one bucket holds on average.
 BUCKET = 4096
-#: Words of the budget that the dynamic programme fills, and the longest length that it uses.
-LAST_WORDS, LAST_LENGTH = 4096, 512
+#: Words of the budget that are left to the dynamic programme, and how many lengths it uses at most.
+LAST_WORDS, ITEMS = 4096, 512
 
 
 def targets(sizes: list[tuple], weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> list[float]:
@@ -94,29 +94,28 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words sum to ``budget`` as nearly as may be."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 1) -> np.ndarray:
+    """How many copies of documents of each length to take, at most ``spare`` of each document, so that their words sum
+    to ``budget`` as nearly as may be."""
+    counts = counts * spare
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
-        return counts.copy()
+        return counts
     taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
     left = budget - int((taken * lengths).sum())
-    short = lengths <= LAST_LENGTH
-    for at in np.argsort(-lengths):  # longer lengths first, but the last words stay for the programme
-        spare = left - (LAST_WORDS if (short & (counts > taken)).any() else 0)
-        if lengths[at] and spare >= lengths[at]:
-            more = min(int(counts[at] - taken[at]), spare // int(lengths[at]))
-            taken[at] += more
-            left -= more * int(lengths[at])
-    for pool in (short, np.ones(len(lengths), bool)):
-        room = [int(i) for i in np.flatnonzero(pool & (counts > taken) & (lengths > 0))]
-        if left > 0 and room and left <= 4 * LAST_WORDS:
-            room = sorted(room, key=lambda i: lengths[i])[:512]
-            more = knapsack([int(lengths[i]) for i in room], [int(counts[i] - taken[i]) for i in room], left)
-            taken[room] += np.array(more)
-            left -= sum(int(lengths[i]) * m for i, m in zip(room, more, strict=True))
+    usable = (lengths > 0) & (counts > taken)
+    if usable.sum() > ITEMS or left > 4 * LAST_WORDS:
+        for at in np.argsort(-lengths):  # longer lengths first; the last words stay for the programme
+            if lengths[at] and left - LAST_WORDS >= lengths[at]:
+                more = min(int(counts[at] - taken[at]), (left - LAST_WORDS) // int(lengths[at]))
+                taken[at] += more
+                left -= more * int(lengths[at])
+    room = [int(i) for i in np.argsort(lengths, kind="stable") if lengths[i] > 0 and counts[i] > taken[i] and lengths[i] <= 2 * left][:ITEMS]
+    if left > 0 and room:
+        more = knapsack([int(lengths[i]) for i in room], [int(counts[i] - taken[i]) for i in room], left)
+        taken[room] += np.array(more)
     return taken
 
 
@@ -126,7 +125,12 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     target, whole = float(pdf["target"].iloc[0]), int((lengths * counts).sum())
     base = min(MOST, int(target // whole)) if whole else 0
     budget = round(target - base * whole) if base < MOST else 0
-    return pd.DataFrame({"source_no": pdf["source_no"], "size": lengths, "n": counts, "base": base, "more": fit(lengths, counts, budget)})
+    more = fit(lengths, counts, budget)
+    if base + 1 < MOST and (lengths * more).sum() != budget:  # few documents: further copies of some come nearer
+        again = fit(lengths, counts, budget, MOST - base)
+        if abs((lengths * again).sum() - budget) < abs((lengths * more).sum() - budget):
+            more = again
+    return pd.DataFrame({"source_no": pdf["source_no"], "size": lengths, "n": counts, "base": base + more // counts, "more": more % counts})
 
 
 def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: tuple[float, ...] = WEIGHTS, seed: int = SEED, order_by: tuple[str, ...] = ("doc_id",), keep: tuple[str, ...] | None = None) -> DataFrame:
