@@ -40,14 +40,14 @@ def _fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _count(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    c = codes.astype(np.int64)
+def _count(codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that start in a piece of the codes, sorted, and their counts."""
+    c = codes[low : high + 2].astype(np.int64)
+    n = high - low
     gap = c == _BREAK
     pair = (c[:-1] << 21) | c[1:]
     triple = (pair[:-1] << 21) | c[2:]
-    keys = np.sort(np.concatenate((c[~gap], pair[~(gap[:-1] & gap[1:])], triple[~gap[1:-1]])))
-    if not len(keys):
-        return keys, keys
+    keys = np.sort(np.concatenate((c[:n][~gap[:n]], pair[:n], triple[:n][~gap[1:-1][:n]])))
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.diff(np.append(first, len(keys)))
 
@@ -58,18 +58,10 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.frombuffer(f"_{words}_".encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(codes) <= _PIECE:
-        return _count(codes)
-    keys = counts = np.empty(0, np.int64)
-    low = 0
-    while low < len(codes) - 1:
-        high = min(low + _PIECE, len(codes))
-        if high < len(codes):  # cut at a break, which both pieces hold; a word of a piece's length is cut as it is
-            gaps = np.flatnonzero(codes[low + 1 : high] == _BREAK)
-            high = low + 2 + int(gaps[-1]) if len(gaps) else high
-        k, n = _count(codes[low:high])
+    keys, counts = _count(codes, 0, min(_PIECE, len(codes)))
+    for low in range(_PIECE, len(codes), _PIECE):
+        k, n = _count(codes, low, min(low + _PIECE, len(codes)))
         keys, counts = _fold(np.concatenate((keys, k)), np.concatenate((counts, n)))
-        low = high - 1
     return keys, counts
 
 
