@@ -34,7 +34,7 @@ MODEL = "piece_bpe_32k.model"
 class PieceEncoder:
     """Encodes like the library's encode() for merge-type models that keep their text as it is (identity rules)."""
 
-    PARTS, PAIRS, PART = 500_000, 1_000_000, 48
+    PARTS, PAIRS, PART = 300_000, 400_000, 48
 
     def __init__(self, path: str) -> None:
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
