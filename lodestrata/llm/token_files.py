@@ -47,7 +47,7 @@ class WordIds:
     nothing, A-Z may be lowered before, and a single stop or comma after a letter or digit is a run of its own.
     """
 
-    LIMIT, LONG = 250_000, 64
+    LIMIT, LONG = 500_000, 64
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
