@@ -26,6 +26,8 @@ SHARDS = 8
 SEED = 7919
 #: Bytes of text that one bucket holds on average. A task holds one bucket, as rows and as a shuffled array.
 BUCKET_BYTES = 16 << 20
+#: Up to so many buckets (one row of three numbers each) their places are broadcast; beyond, they are joined by a shuffle.
+BROADCAST = 50_000
 
 
 def shard_of(id_col: Column, shards: int, seed: int = SEED) -> Column:
@@ -61,6 +63,7 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     # one small row for each bucket, not for each document
     held = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = held.select("shard", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = F.broadcast(before) if total <= BROADCAST else before
     return written.join(before, ["shard", "bucket"]).select("rec", "shard", "bucket", (F.col("before") + F.col("at")).cast("long").alias("slot"))
 
 
