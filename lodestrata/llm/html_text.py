@@ -26,7 +26,7 @@ from .common import load
 
 WINDOW = 3
 
-_TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
+_TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[!?][^>]*+>)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -74,8 +74,12 @@ def lines(page: str) -> tuple[list[str], list[tuple[int, ...]], dict[int, str]]:
                 where.append(tuple(n for _, n in stack if n))
             text.clear()
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
+        if at > last:  # no tag ends any more; what is left is text, up to a comment that never ends
+            if not skip:
+                text.append(page[at:].split("<!--", 1)[0])
+            break
         tag = _TAG.search(page, at)
         if tag is None:
             if not skip:
