@@ -3,9 +3,10 @@
 A page becomes lines, one for each block of text, without markup; elements that never hold the article (scripts, styles,
 menus, headers, footers, sidebars, forms, and boxes whose class or id says advert, notice, comments and the like) are left
 out. The text lengths of the lines are summed over a sliding window. Where the sums rise above the page's level is a
-surge, where they fall off again a dive; the stretch between with the most text is the core of the article, which also
-holds on a page whose markup names nothing. Last, the stretch is widened to the innermost section that holds all of it
-(article, main, or else the box that its lines share), so that short lines at either end are not lost.
+surge, where they fall off again a dive; the stretches between are the body of the article, the one with the most text
+its core, which also holds on a page whose markup names nothing. Last, they are widened: if the core lies in an article
+or main, to the innermost such section of every stretch that has one; if not, to the innermost box that holds all
+stretches. So neither further parts of an article nor short lines between or around them are lost.
 
 Character references are decoded, white space inside a block is one space, blocks are joined by a newline. Nothing else
 is dropped or capped. Null and empty pages give an empty text; unclosed elements end with the box around them.
@@ -133,14 +134,14 @@ def lines(page: str) -> tuple[list[str], list[tuple[int, ...]], dict[int, str]]:
     return out, where, names
 
 
-def core(sizes: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
-    """First and last line of the stretch with the most text between a surge and a dive of the window sums."""
+def stretches(sizes: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
+    """First and last line of every stretch between a surge and a dive of the window sums, in page order."""
     n = len(sizes)
     width = min(window, n)
     sums = np.convolve(sizes, np.ones(width, np.int64))[width - 1 : width - 1 + n]  # each line with those that follow
     level = max(1.0, sums.mean() / 2)
     high = sums >= level
-    best, at = (-1, 0, n - 1), 0
+    out, at = [], 0
     while at < n:
         if not high[at]:
             at += 1
@@ -154,9 +155,23 @@ def core(sizes: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
         start = surge
         while start < dive and sizes[start] < level / width:
             start += 1
-        best = max(best, (int(sizes[start : dive + 1].sum()), -start, dive))
+        out.append((start, dive))
         at += 1
-    return -best[1] if best[0] >= 0 else 0, best[2]
+    return out or [(0, n - 1)]
+
+
+def core(sizes: np.ndarray, window: int = WINDOW) -> tuple[int, int]:
+    """First and last line of the stretch with the most text."""
+    return max(stretches(sizes, window), key=lambda s: (int(sizes[s[0] : s[1] + 1].sum()), -s[0]))
+
+
+def _shared(boxes: list[tuple[int, ...]]) -> tuple[int, ...]:
+    """The boxes that all lines lie in."""
+    low, high = min(boxes), max(boxes)  # what the extremes share, all share
+    same = 0
+    while same < min(len(low), len(high)) and low[same] == high[same]:
+        same += 1
+    return low[:same]
 
 
 def main_text(page: str | None) -> str:
@@ -164,18 +179,22 @@ def main_text(page: str | None) -> str:
     found, where, names = lines(page or "")
     if not found:
         return ""
-    first, last = core(np.array([len(x) for x in found], np.int64))
-    shared = where[first]
-    for w in (where[first : last + 1]):
-        same = 0
-        while same < min(len(shared), len(w)) and shared[same] == w[same]:
-            same += 1
-        shared = shared[:same]
-    depth = next((i for i in range(len(shared) - 1, -1, -1) if names[shared[i]] in _SECTION), len(shared) - 1)
-    if depth >= 0:
-        box = shared[depth]
-        return "\n".join(x for x, w in zip(found, where, strict=True) if len(w) > depth and w[depth] == box)
-    return "\n".join(found[first : last + 1])
+    sizes = np.array([len(x) for x in found], np.int64)
+    parts = stretches(sizes)
+    sections = {}
+    for first, last in parts:
+        sections[first, last] = next((n for n in reversed(_shared(where[first : last + 1])) if names[n] in _SECTION), None)
+    if sections[core(sizes)] is not None:
+        boxes = set(sections.values()) - {None}
+    else:
+        boxes = set(_shared([w for first, last in parts for w in where[first : last + 1]])[-1:])
+    if boxes:
+        inside = [not boxes.isdisjoint(w) for w in where]
+        if sections[core(sizes)] is not None and len(boxes) > 1:  # short sections between those that were found
+            ends = np.flatnonzero(inside)
+            inside = [x or ends[0] < i < ends[-1] and any(names[n] in _SECTION for n in where[i]) for i, x in enumerate(inside)]
+        return "\n".join(x for x, y in zip(found, inside, strict=True) if y)
+    return "\n".join(found[parts[0][0] : parts[-1][1] + 1])
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

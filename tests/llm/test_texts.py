@@ -160,6 +160,15 @@ def test_core_is_the_longest_stretch():
     assert html_text.core(sizes) == (4, 8)
 
 
+def test_all_stretches_are_joined():
+    parts = ["<p>" + "a" * 900 + "</p>", "".join(f"<p>{c}</p>" for c in "bcde"), "<p>" + "f" * 800 + "</p>"]
+    want = "\n".join(["a" * 900, *"bcde", "f" * 800])
+    for open_, close in (("<div class=part>", "</div>"), ("<blockquote>", "</blockquote>"), ("<ul><li>", "</li></ul>"), ("<table><tr><td>", "</td></tr></table>"), ("<section>", "</section>"), ("<pre>", "</pre>")):
+        assert html_text.main_text("<div class=top><p>Home</p></div><div class=post>" + "".join(open_ + x + close for x in parts) + "</div>") == want
+        assert html_text.main_text(f"<p>Home</p><div class=post>{open_}{parts[0]}{close}{parts[1]}{parts[2]}</div>") == want
+    assert html_text.main_text("<p>Home</p><div>" + "".join(f"<article>{x}</article>" for x in parts) + "</div>") == want
+
+
 def test_op9_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>x"), (2, "u", ""), (3, "u", "<p>" + "y " * 200_000), (3, "u", "<div" * 2000)]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("main_text", F.lit(1))).collect()
