@@ -1,7 +1,9 @@
 """Secret scans (operator 2): candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-A candidate is an unbroken run of at least 16 characters of keys and codes with a digit among them, or the first line of
-a private key. Its features: length, shares of character kinds, transitions between them, letter pairs that words have,
+A candidate is an unbroken run of at least 16 characters of keys and codes with a digit among them, a run that starts as
+known keys do, a web token with its dots, or the first line of a private key; and, of any length and alphabet, what
+follows a name of keys, secrets, passwords or tokens and a sign of assignment (in quotes, all up to the closing one), an
+option of such a name, an authorization scheme, and the password in a URL. Its features: length, shares of character kinds, transitions between them, letter pairs that words have,
 coverage by a small dictionary, the path (the document's source) and the words before and after. The forest is trained
 by Spark's own library on labelled findings (candidate, before, after, path, is_secret): a table of yours, or the seeded
 one of ``labelled_findings``, at most ``ROWS`` rows. Its trees are then written out as one expression over a candidate's
@@ -21,7 +23,22 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_\-])(?:eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]{4,}){1,4}|(?:gh[opsur]_|github_pat_|glpat-|AKIA|ASIA|sk_live_|sk-|xox[abprs]-|AIza|npm_)[A-Za-z0-9+/_\-]{12,}"
+    r"|(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2})|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+)
+_NAMES = r"(?:key|secret|passw(?:or)?d|passphrase|passcode|\bpass|pwd|token|credentials?)"
+_QUOTES = r"""["'`\\]"""
+#: What stands before a value: a name and a sign of assignment, "is" after a name, an option, or an authorization scheme.
+_LED = (
+    rf"(?<=[\s:=>]|{_QUOTES})(?:(?<=[:=>][\s\"'`\\]{{0,18}})(?<=(?i:{_NAMES})[\w.\-]{{0,24}}[\"'`\\\]]{{0,3}}\s{{0,16}}(?:[:=]|:=|==|=>)\s{{0,16}}{_QUOTES}{{0,2}})"
+    rf"|(?<=(?i:--[\w\-]{{0,20}}{_NAMES}[\w\-]{{0,12}}|\b{_NAMES}\s{{1,2}}(?:is|was):?|authorization[\"'\\]{{0,2}}\s{{0,4}}[:=]\s{{0,4}}[\"'\\]{{0,2}}(?:bearer|basic|token))\s{{1,4}}{_QUOTES}{{0,2}}))"
+)
+_VALUE = r"""(?:(?<=")(?:[^"\r\n\\]++|\\[^"\r\n])++|(?<=')(?:[^'\r\n\\]++|\\[^'\r\n])++|(?<=`)[^`\r\n]++|(?<!["'`])(?!["'`\\=>])[^\s"'`<>]*[^\s"'`<>.,;:)\]}])"""
+_USERINFO = r"""(?<=://[^\s/:@"'<>]{0,64}:)[^\s/"'<>]+(?=@[\w\[])"""
+#: All candidates (lookbehind of bounded length, as the JVM has it), and what every text with one holds.
+FIND = f"{_USERINFO}|{_LED}{_VALUE}|{CANDIDATE}"
+HAS = rf"{CANDIDATE}|://[^\s/@]*:[^\s/]+@|(?i:{_NAMES}[\w.\-]{{0,24}}[\"'`\\\]]{{0,3}}\s{{0,16}}[:=]|--[\w\-]{{0,20}}{_NAMES}|{_NAMES}\s{{1,2}}(?:is|was)\b|authorization)"
 #: Characters of context on either side.
 CONTEXT = 48
 #: Bound on the labelled findings that the forest is trained on.
@@ -33,6 +50,9 @@ MASK = "[SECRET]"
 _KEYS = r"(?i)(token|secret|passw|pwd|api.?key|auth|credential|private|access.?key|bearer|client.?key|signing)"
 _CODES = r"(?i)(sha\W?[0-9]*|commit|hash|checksum|digest|md5|uuid|guid|etag|revision|integrity|build|version|phone|order|invoice|card|isbn|account|tel|id)"
 _FAKE = r"(?i)(example|sample|placeholder|changeme|dummy|your|xxxx|0000|1234567|abcdef|redacted)"
+_PASS = r"(?i)(passw|pwd|passphrase|passcode|\bpass)[\w\-]{0,12}(?:\W{0,8}|\W{1,3}(?:is|was)\W{1,4})$"
+_FILLER = r"(?i)^(none|null|nil|true|false|undefined|string|str|text|passw(or)?d|pass|pwd|secret|token|key|required|optional|hidden|empty|todo|tbd|n/?a|value|type|int|bool|bytes|char|any|object|bearer|basic|[*x.#_\-]+)$"
+_REFERENCE = r"^[$%{<\[&@]|[(){}]|^(?:os|process|env|config|settings|self|this|request|args|secrets|vars|data)\.|::|->"
 _WORDS = (
     "about access account action admin after again application array assets async backup base batch before block body bootstrap buffer build button cache "
     "class client cloud column common component config connect container content context control convert count create current customer data database date "
@@ -84,6 +104,13 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "code_near": yes(before, r"(?:^|\W)" + _CODES + r"[\w\-]{0,6}\W{0,8}$"),
         "assigned": yes(before, r"""[=:]\s*["']?$"""),
         "quoted": yes(after, r"""^["']"""),
+        "pass_near": yes(before, _PASS),
+        "userinfo": F.when(before.rlike(r"://[^\s/:@]*:$") & after.rlike("^@"), 1.0).otherwise(0.0),
+        "web_token": yes(c, r"^eyJ[\w\-]+\.[\w\-]+"),
+        "symbols": share(r"[^\w\s]"),
+        "spaces": share(r"\s"),
+        "filler": yes(c, _FILLER),
+        "reference": yes(c, _REFERENCE),
         "in_path": yes(F.concat(F.right(before, F.lit(1)), c), r"^[/.\\]|[/].*[/]"),
     }
 
@@ -91,8 +118,10 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
 def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -> DataFrame:
     """Seeded findings with labels, made in SQL: columns candidate, before, after, path, is_secret.
 
-    Secrets: hex, base64 and letter-digit keys that are assigned to something named token, secret, password or key, and
-    keys of known forms anywhere. Others: numbers, hashes named as such, ids, placeholders, dates, names and paths.
+    Secrets: hex, base64, letter-digit and letter keys that are assigned to something named token, secret, password or
+    key, keys of known forms anywhere, web tokens, short passwords and those with marks or of words, and passwords in
+    URLs. Others: numbers, hashes named as such, ids, placeholders, dates, names and paths, and what else follows such
+    names: types, references to variables, single words, numbers, and values of keys that open nothing.
     """
     h = F.sha2(F.concat_ws(".", F.lit(str(seed)), "id"), 256)
     hx = F.concat(h, F.sha2(F.concat(h, F.lit("b")), 256))
@@ -115,7 +144,30 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
     date = F.concat(F.lit("2024-0"), F.substring(digits, 1, 1), F.lit("-1"), F.substring(digits, 2, 1), F.lit("T0"), F.substring(digits, 3, 7))
     uuid = F.concat_ws("-", *[F.substring(hx, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     form = F.concat(one(["ghp_", "glpat-", "AKIA", "sk_live_", "xoxb-", "AIza", "npm_", "eyJ"], 49), F.substring(letters, 1, 36))
-    kinds: list[tuple[Column, Column, bool]] = [
+    only = F.translate(letters, "0123456789", "ghkmpqrstv")
+    short = one(["6", "7", "8", "8", "9", "10", "12", "14"], 45).cast("int")
+    mark = one(["!", "@", "#", "$", "%", ".", ":", "!!", "&", "*"], 2)
+    opening = one([' = "', "=", ": ", " = '", ":", '": "', " is ", "="], 21)
+    passed = F.concat(one(["", "the ", "my_", "db_", "export ", "--", "admin ", "and "], 13), one("password Password PASSWORD passwd pwd db_password passphrase user_pass password".split(), 17), opening)
+    other = F.concat(one(["", "sort_", "primary ", "the ", "max_", "cache ", "foreign_", "map "], 13), one("key keys key_name keyboard tokens tokenizer keyword monkey token_type key_id".split(), 17), one([' = "', "=", ": ", '": "', " is "], 21))
+    common = one("the her him they that which about never nothing always hope love house water people good time way kept there".split(), 33)
+    user = F.concat(one(["postgres", "https", "mysql", "redis", "amqp", "mongodb+srv", "ftp", "http"], 13), F.lit("://"), one(["admin", "user", "root", "", "app", "svc1"], 17), F.lit(":"))
+    host = one(["@db.internal:5432/app", "@localhost/x", "@10.0.0.5", "@cache-1:6379", "@example.org"], 25)
+    kinds: list[tuple[Column, ...]] = [
+        (F.concat(F.initcap(word), F.substring(digits, F.lit(1), F.pmod(short, F.lit(4)) + 1)), passed, True),
+        (F.concat(F.substring(letters, F.lit(3), short), F.substring(digits, 1, 1)), passed, True),
+        (F.concat(F.initcap(F.translate(word2, "aeos", "@305")), mark, F.substring(digits, 1, 3), mark), passed, True),
+        (F.concat(F.substring(letters, 2, 4), mark, F.substring(letters, F.lit(9), short), mark), F.concat(named), True),
+        (F.concat(word, word2), passed, True),
+        (F.concat_ws(" ", word, word2, one("horse river stone battery copper window".split(), 29), word2), F.concat(one(["passphrase", "password", "PASSWORD", "db_passwd"], 17), one([' = "', ": '", '": "'], 21)), True, F.lit('"')),
+        (F.substring(only, F.lit(1), size), named, True),
+        (F.concat(F.initcap(word), mark, F.substring(digits, 1, 4)), user, True, host),
+        (F.substring(letters, F.lit(1), short), user, True, host),
+        (F.concat(F.lit("eyJ"), F.substring(letters, 1, 17), F.lit(".eyJ"), F.substring(letters, 5, 30), F.lit("."), F.substring(letters, 1, 43)), one(["", "Authorization: Bearer ", "token: ", "jwt=", "see ", 'cookie "'], 53), True),
+        (one("None null nil true false undefined string str text password secret token required optional hidden **** xxxx todo value bool bytes any Bearer".split(), 29), F.when(F.col("id") % 2 == 0, passed).otherwise(named), False),
+        (F.concat(one(["${", "os.environ.", "process.env.", "{{", "<", "settings.", "config.get(", "$", "self.", "getpass("], 29), F.upper(word), F.lit("_"), F.upper(word2)), F.when(F.col("id") % 2 == 0, passed).otherwise(named), False),
+        (F.when(F.col("id") % 3 == 0, F.substring(digits, F.lit(1), F.pmod(short, F.lit(4)) + 1)).when(F.col("id") % 3 == 1, word).otherwise(F.concat(word, F.lit("_"), word2)), other, False),
+        (common, F.concat(one(["the ", "a ", "his ", "her ", ""], 13), one("secret token key password Secret".split(), 17), one([": ", " is ", ": ", " was "], 21)), False, F.lit(" ")),
         (F.substring(hx, F.lit(1), size), named, True),
         (F.upper(F.substring(hx, F.lit(1), size)), F.upper(named), True),
         (F.substring(letters, F.lit(1), size), named, True),
@@ -133,9 +185,9 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
         (F.concat(F.repeat(word2, 3), F.substring(digits, 1, 1)), plain, False),
     ]
     pick = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(kinds)))
-    chosen = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), F.lit(y).cast("int").alias("is_secret")) for c, b, y in kinds])
-    made = spark.range(0, rows, 1, 1).select(F.element_at(chosen, (pick + 1).cast("int")).alias("f"), end.alias("after"), path.alias("path"))
-    return made.select("f.candidate", "f.before", "after", "path", "f.is_secret")
+    chosen = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), F.lit(y).cast("int").alias("is_secret"), (after[0] if after else end).alias("after")) for c, b, y, *after in kinds])
+    made = spark.range(0, rows, 1, 1).select(F.element_at(chosen, (pick + 1).cast("int")).alias("f"), path.alias("path"))
+    return made.select("f.candidate", "f.before", "f.after", "path", "f.is_secret")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[str]:
@@ -166,9 +218,9 @@ def scanned(docs: DataFrame, forest: list[str], text_col: str = "text", path_col
     findings: array of (candidate, score, is_secret) in the order of the text; gaps: what stands between them.
     """
     packed = docs.select(F.struct(*(keep or ["*"])).alias("rec"), F.col(text_col).alias("text"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
-    has = F.col("text").rlike(CANDIDATE)
+    has = F.col("text").rlike(HAS)
     none = F.array().cast("array<string>")
-    rows = packed.withColumns({"found": F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(none), "gaps": F.when(has, F.split("text", CANDIDATE, -1)).otherwise(none)})
+    rows = packed.withColumns({"found": F.when(has, F.regexp_extract_all("text", F.lit(FIND), F.lit(0))).otherwise(none), "gaps": F.when(has, F.split("text", FIND, -1)).otherwise(none)})
 
     def seen(c: Column, i: Column) -> Column:
         before, after = F.right(F.get("gaps", i), F.lit(CONTEXT)), F.left(F.get("gaps", i + 1), F.lit(CONTEXT))

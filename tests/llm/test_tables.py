@@ -76,6 +76,26 @@ def test_redacted_text_keeps_all_else(spark, odd_documents, forest):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+#: Texts with what has to be masked in each, and texts that stay.
+LED = [
+    ('password = "S3cr3t2024"', "S3cr3t2024"),
+    ("DB_PASSWORD=P@ssw0rd!23 # prod", "P@ssw0rd!23"),
+    ("pwd: Tr0ub4dor&3", "Tr0ub4dor&3"),
+    ('api_key = "QwZxCvBnMkLpRtYhGfDsWqJk"', "QwZxCvBnMkLpRtYhGfDsWqJk"),
+    ("connect to postgres://admin:Wint3r.2024@db.internal:5432/app now", "Wint3r.2024"),
+    ('{"password": "kT#9vLq2"}', "kT#9vLq2"),
+    ("jwt=eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"),
+]
+STAY = ["password = None", 'key = "title"', "token: string", 'password = "${DB_PASSWORD}"', "The secret is that they never came.", "max_tokens=512", "see http://host.example:8080/a@b"]
+
+
+def test_led_values_are_masked(spark, forest):
+    docs = spark.createDataFrame([(i, t, "src/app.py") for i, t in enumerate([t for t, _ in LED] + STAY)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(docs, forest).collect()}
+    assert [got[i] for i in range(len(LED))] == [t.replace(v, secrets.MASK) for t, v in LED]
+    assert [got[i + len(LED)] for i in range(len(STAY))] == STAY
+
+
 # Sharding
 
 
