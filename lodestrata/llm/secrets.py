@@ -1,7 +1,7 @@
 """Secret scans (operator 2): candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
 A candidate is an unbroken run of at least 16 characters of keys and codes with a digit among them, a run that starts as
-known keys do, a web token with its dots, or the first line of a private key; and, of any length and alphabet, what
+known keys do, a web token with its dots, or a private key, from its BEGIN line to its END line or last base64 line; and, of any length and alphabet, what
 follows a name of keys, secrets, passwords or tokens and a sign of assignment (in quotes, all up to the closing one), an
 option of such a name, an authorization scheme, and the password in a URL. Its features: length, shares of character kinds, transitions between them, letter pairs that words have,
 coverage by a small dictionary, the path (the document's source) and the words before and after. The forest is trained
@@ -23,9 +23,16 @@ from pyspark.sql import functions as F
 
 from .common import load
 
+_NEWLINE = r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+"
+_BASE64 = r"""(?:[A-Za-z0-9+/]{32,}+={0,2}|[A-Za-z0-9+/]++={0,2}(?=[ \t]*+(?:[\r\n\\"'<]|$)))"""
+_KEY = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----(?:[^\-]*+(?:-(?!----)[^\-]*+)*+-----END [A-Z ]{0,24}PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:(?:{_NEWLINE}[A-Za-z\-]++: [^\r\n]*+)*+(?:{_NEWLINE}|[ \t])++{_BASE64}(?:{_NEWLINE}{_BASE64})*+)?+)"
+)
 CANDIDATE = (
     r"(?<![A-Za-z0-9+/_\-])(?:eyJ[A-Za-z0-9_\-]{5,}(?:\.[A-Za-z0-9_\-]{4,}){1,4}|(?:gh[opsur]_|github_pat_|glpat-|AKIA|ASIA|sk_live_|sk-|xox[abprs]-|AIza|npm_)[A-Za-z0-9+/_\-]{12,}"
-    r"|(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2})|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2})"
+    rf"|{_KEY}"
 )
 _NAMES = r"(?:key|secret|passw(?:or)?d|passphrase|passcode|\bpass|pwd|token|credentials?)"
 _QUOTES = r"""["'`\\]"""
@@ -37,10 +44,11 @@ _LED = (
 _VALUE = r"""(?:(?<=")(?:[^"\r\n\\]++|\\[^"\r\n])++|(?<=')(?:[^'\r\n\\]++|\\[^'\r\n])++|(?<=`)[^`\r\n]++|(?<!["'`])(?!["'`\\=>])[^\s"'`<>]*[^\s"'`<>.,;:)\]}])"""
 _USERINFO = r"""(?<=://[^\s/:@"'<>]{0,64}:)[^\s/"'<>]+(?=@[\w\[])"""
 #: All candidates (lookbehind of bounded length, as the JVM has it), and what every text with one holds.
-FIND = f"{_USERINFO}|{_LED}{_VALUE}|{CANDIDATE}"
+FIND = f"{_KEY}|{_USERINFO}|{_LED}{_VALUE}|{CANDIDATE}"
 HAS = rf"{CANDIDATE}|://[^\s/@]*:[^\s/]+@|(?i:{_NAMES}[\w.\-]{{0,24}}[\"'`\\\]]{{0,3}}\s{{0,16}}[:=]|--[\w\-]{{0,20}}{_NAMES}|{_NAMES}\s{{1,2}}(?:is|was)\b|authorization)"
-#: Characters of context on either side.
-CONTEXT = 48
+#: Characters of context on either side, and how many neighbouring candidates, of at least 3 characters with the gaps
+#: before them, those can reach over.
+CONTEXT, REACH = 48, 16
 #: Bound on the labelled findings that the forest is trained on.
 ROWS = 6_000
 TREES, DEPTH, SEED = 15, 6, 20240611
@@ -109,6 +117,7 @@ def features(c: Column, before: Column, after: Column, path: Column) -> dict[str
         "web_token": yes(c, r"^eyJ[\w\-]+\.[\w\-]+"),
         "symbols": share(r"[^\w\s]"),
         "spaces": share(r"\s"),
+        "key_block": yes(c, "^-----BEGIN"),
         "filler": yes(c, _FILLER),
         "reference": yes(c, _REFERENCE),
         "in_path": yes(F.concat(F.right(before, F.lit(1)), c), r"^[/.\\]|[/].*[/]"),
@@ -152,6 +161,7 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
     other = F.concat(one(["", "sort_", "primary ", "the ", "max_", "cache ", "foreign_", "map "], 13), one("key keys key_name keyboard tokens tokenizer keyword monkey token_type key_id".split(), 17), one([' = "', "=", ": ", '": "', " is "], 21))
     common = one("the her him they that which about never nothing always hope love house water people good time way kept there".split(), 33)
     user = F.concat(one(["postgres", "https", "mysql", "redis", "amqp", "mongodb+srv", "ftp", "http"], 13), F.lit("://"), one(["admin", "user", "root", "", "app", "svc1"], 17), F.lit(":"))
+    pem = F.concat(F.lit("-----BEGIN "), one(["RSA ", "EC ", "", "OPENSSH ", "ENCRYPTED "], 29), F.lit("PRIVATE KEY-----"))
     host = one(["@db.internal:5432/app", "@localhost/x", "@10.0.0.5", "@cache-1:6379", "@example.org"], 25)
     kinds: list[tuple[Column, ...]] = [
         (F.concat(F.initcap(word), F.substring(digits, F.lit(1), F.pmod(short, F.lit(4)) + 1)), passed, True),
@@ -167,6 +177,9 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
         (one("None null nil true false undefined string str text password secret token required optional hidden **** xxxx todo value bool bytes any Bearer".split(), 29), F.when(F.col("id") % 2 == 0, passed).otherwise(named), False),
         (F.concat(one(["${", "os.environ.", "process.env.", "{{", "<", "settings.", "config.get(", "$", "self.", "getpass("], 29), F.upper(word), F.lit("_"), F.upper(word2)), F.when(F.col("id") % 2 == 0, passed).otherwise(named), False),
         (F.when(F.col("id") % 3 == 0, F.substring(digits, F.lit(1), F.pmod(short, F.lit(4)) + 1)).when(F.col("id") % 3 == 1, word).otherwise(F.concat(word, F.lit("_"), word2)), other, False),
+        (F.concat(pem, F.lit("\n"), F.substring(letters, 1, 64), F.lit("\n"), F.substring(letters, 9, 50), F.when(F.col("id") % 2 == 0, F.concat(F.lit("=\n"), F.regexp_replace(pem, "BEGIN", "END"))).otherwise("")), one(["", "\n", 'key = "', "private_key: ", "see "], 53), True),
+        (F.concat(pem, F.when(F.col("id") % 2 == 0, F.concat(F.lit("\n...\n"), F.regexp_replace(pem, "BEGIN", "END"))).otherwise("")), plain, False),
+        (F.concat(F.upper(word), one(["_SECRET_KEY_", "_API_TOKEN_", "_PASSWORD_", "_ACCESS_KEY_ID_"], 17), F.substring(digits, F.lit(1), F.pmod(short, F.lit(4)) + 1)), one(["", "\n", "export ", "env.", "the "], 53), False, one([' = "', "=", ": ", " -> "], 21)),
         (common, F.concat(one(["the ", "a ", "his ", "her ", ""], 13), one("secret token key password Secret".split(), 17), one([": ", " is ", ": ", " was "], 21)), False, F.lit(" ")),
         (F.substring(hx, F.lit(1), size), named, True),
         (F.upper(F.substring(hx, F.lit(1), size)), F.upper(named), True),
@@ -222,13 +235,21 @@ def scanned(docs: DataFrame, forest: list[str], text_col: str = "text", path_col
     none = F.array().cast("array<string>")
     rows = packed.withColumns({"found": F.when(has, F.regexp_extract_all("text", F.lit(FIND), F.lit(0))).otherwise(none), "gaps": F.when(has, F.split("text", FIND, -1)).otherwise(none)})
 
-    def seen(c: Column, i: Column) -> Column:
-        before, after = F.right(F.get("gaps", i), F.lit(CONTEXT)), F.left(F.get("gaps", i + 1), F.lit(CONTEXT))
-        return F.struct(c.alias("candidate"), *[x.alias(k) for k, x in features(c, before, after, F.col("path")).items()])
+    # context is the text on either side, whether candidates or gaps
+    rows = rows.withColumn("left", F.transform("found", lambda c, i: F.right(F.concat(F.get("gaps", i), c), F.lit(CONTEXT))))
+    rows = rows.withColumn("right", F.transform("found", lambda c, i: F.left(F.concat(c, F.get("gaps", i + 1)), F.lit(CONTEXT))))
+
+    def around(c: Column, i: Column) -> Column:
+        before = F.concat(F.array_join(F.slice("left", F.greatest(i - (REACH - 1), F.lit(1)), F.least(i, F.lit(REACH))), ""), F.get("gaps", i))
+        after = F.concat(F.get("gaps", i + 1), F.array_join(F.slice("right", i + 2, F.lit(REACH)), ""))
+        return F.struct(c.alias("candidate"), F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
+
+    def seen(x: Column) -> Column:
+        return F.struct(x["candidate"].alias("candidate"), *[y.alias(k) for k, y in features(x["candidate"], x["before"], x["after"], F.col("path")).items()])
 
     votes = " + ".join(f"({t})" for t in forest)
     share = f"({votes}) / {len(forest)}D"
-    rows = rows.withColumn("seen", F.transform("found", seen))
+    rows = rows.withColumn("seen", F.transform(F.transform("found", around), seen))
     rows = rows.withColumn("scored", F.expr(f"transform(seen, f -> named_struct('candidate', f.candidate, 'score', {share}))"))
     final = F.transform("scored", lambda s: F.struct(s["candidate"].alias("candidate"), s["score"].alias("score"), (s["score"] > 0.5).alias("is_secret")))
     return rows.select("rec", "text", "gaps", final.alias("findings"))
