@@ -3,8 +3,9 @@
 1. Documents are counted by source and exact length in words: a histogram, far smaller than the table.
 2. Every source has a target from the weights. A source takes each of its documents as many whole times as the target
    holds its size; what is left is its budget.
-3. The budget is filled from the histogram: of every length the same share of documents, longer lengths first while room
-   is left, and the last words by a bounded-knapsack dynamic programme over the shorter lengths.
+3. The budget is filled from the histogram: of every length the same share of documents, what is left of the shares dealt
+   out by seed, and the difference closed by a bounded-knapsack dynamic programme that may undo what was dealt to the
+   lengths it is given: 64 by seed, twice as many while the total is not exact, in the end all, shares included.
 4. Of each length the wanted number of documents is chosen by a seeded hash. Where a length has very many documents, the
    hash first deals them into buckets; counts of buckets say which are taken whole, and only one is ranked.
 
@@ -27,8 +28,8 @@ MOST = 3
 SEED = 20240611
 #: Documents of one length that one bucket holds on average.
 BUCKET = 4096
-#: Words of the budget that are left to the dynamic programme, and how many lengths it uses at most.
-LAST_WORDS, ITEMS = 4096, 512
+#: How many lengths the dynamic programme is given at first; its most steps times totals once that is not enough.
+ITEMS, WORK = 64, 1 << 29
 
 
 def targets(sizes: list[tuple], weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> list[float]:
@@ -66,9 +67,8 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     reached = np.zeros(room + 1, bool)
     reached[0] = True
     by = np.full(room + 1, -1, np.int32)
-    used_of: list[np.ndarray] = []
+    used = np.zeros(room + 1, np.int32)  # of the length in ``by``
     for at, (length, count) in enumerate(zip(lengths, counts, strict=True)):
-        used = np.zeros(room + 1, np.int32)
         fresh = np.zeros(room + 1, bool)
         front = reached.copy()
         for k in range(1, min(count, room // length) + 1):
@@ -81,7 +81,6 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             used[step], by[step] = k, at
             front = step
         reached |= fresh
-        used_of.append(used)
         if reached[budget]:
             break
     totals = np.flatnonzero(reached)
@@ -89,12 +88,12 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     taken = [0] * len(lengths)
     while total:
         at = int(by[total])
-        taken[at] = int(used_of[at][total])
+        taken[at] = int(used[total])
         total -= taken[at] * lengths[at]
     return taken
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 1) -> np.ndarray:
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 1, seed: tuple[int, ...] = (SEED,)) -> np.ndarray:
     """How many copies of documents of each length to take, at most ``spare`` of each document, so that their words sum
     to ``budget`` as nearly as may be."""
     counts = counts * spare
@@ -103,31 +102,47 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 1) ->
         return np.zeros(len(lengths), np.int64)
     if budget >= total:
         return counts
-    taken = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    left = budget - int((taken * lengths).sum())
-    usable = (lengths > 0) & (counts > taken)
-    if usable.sum() > ITEMS or left > 4 * LAST_WORDS:
-        for at in np.argsort(-lengths):  # longer lengths first; the last words stay for the programme
-            if lengths[at] and left - LAST_WORDS >= lengths[at]:
-                more = min(int(counts[at] - taken[at]), (left - LAST_WORDS) // int(lengths[at]))
-                taken[at] += more
-                left -= more * int(lengths[at])
-    room = [int(i) for i in np.argsort(lengths, kind="stable") if lengths[i] > 0 and counts[i] > taken[i] and lengths[i] <= 2 * left][:ITEMS]
-    if left > 0 and room:
-        more = knapsack([int(lengths[i]) for i in room], [int(counts[i] - taken[i]) for i in room], left)
-        taken[room] += np.array(more)
-    return taken
+    share = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
+    rest = np.array([int(c) * budget % total / total for c in counts.tolist()])
+    rng = np.random.default_rng(seed)
+    order = rng.permutation(len(lengths))
+    dealt = np.zeros(len(lengths), np.int64)
+    dealt[order] = np.diff(np.floor(np.concatenate(([0.0], np.cumsum(rest[order]))) + rng.random())).astype(np.int64)
+    best = np.minimum(share + dealt, counts)
+    order = order[lengths[order] > 0]
+    for least in (share, np.zeros_like(share)):  # in the end the shares may be undone too
+        size = min(ITEMS, len(order))
+        while True:
+            miss = budget - int((best * lengths).sum())
+            if not miss:
+                return best
+            pool = order[:size]
+            goal = miss + int(((best - least)[pool] * lengths[pool]).sum())
+            free = (counts - least)[pool]
+            room = goal + int(lengths[pool].max())
+            if size > ITEMS and int(np.minimum(free, room // lengths[pool]).sum()) * room > WORK:
+                break
+            if goal >= 0:
+                again = best.copy()
+                again[pool] = least[pool] + np.array(knapsack(lengths[pool].tolist(), free.tolist(), goal))
+                if abs(budget - int((again * lengths).sum())) < abs(miss):
+                    best = again
+            if size == len(order):
+                break
+            size = min(2 * size, len(order))
+    return best
 
 
-def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+def _fit_source(pdf: pd.DataFrame, seed: int = SEED) -> pd.DataFrame:
     pdf = pdf.sort_values("size", ignore_index=True)
     lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
     target, whole = float(pdf["target"].iloc[0]), int((lengths * counts).sum())
     base = min(MOST, int(target // whole)) if whole else 0
     budget = round(target - base * whole) if base < MOST else 0
-    more = fit(lengths, counts, budget)
+    lot = (seed, int(pdf["source_no"].iloc[0]))
+    more = fit(lengths, counts, budget, seed=lot)
     if base + 1 < MOST and (lengths * more).sum() != budget:  # few documents: further copies of some come nearer
-        again = fit(lengths, counts, budget, MOST - base)
+        again = fit(lengths, counts, budget, MOST - base, lot)
         if abs((lengths * again).sum() - budget) < abs((lengths * more).sum() - budget):
             more = again
     return pd.DataFrame({"source_no": pdf["source_no"], "size": lengths, "n": counts, "base": base + more // counts, "more": more % counts})
@@ -152,7 +167,7 @@ def mixed(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     plan = [(i, r["source"], r["s"], t) for i, (r, t) in enumerate(zip(sizes, targets([tuple(r) for r in sizes], weights), strict=True))]
     sources = spark.createDataFrame(plan, "source_no long, source string, source_size long, target double")
     fitted = hist.alias("h").join(sources.alias("s"), F.col("h.source").eqNullSafe(F.col("s.source"))).select("source_no", "size", "n", "target")
-    fitted = fitted.groupBy("source_no").applyInPandas(_fit_source, "source_no long, size long, n long, base int, more long")
+    fitted = fitted.groupBy("source_no").applyInPandas(lambda pdf: _fit_source(pdf, seed), "source_no long, size long, n long, base int, more long")
     fitted = stage(sources.join(fitted, "source_no"), "fitted")
 
     def placed(rows: DataFrame, right: DataFrame, *columns) -> DataFrame:

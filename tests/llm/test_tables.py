@@ -193,6 +193,17 @@ def test_fit_stays_within_counts(items, share):
     assert (taken >= 0).all() and (taken <= counts).all() and abs(int((taken * lengths).sum()) - round(share * total)) <= max(lengths.max(), 1)
 
 
+def test_fit_of_long_lengths_is_exact():
+    ones = np.ones(3, np.int64)
+    assert mixing.fit(np.array([12_000, 14_000, 20_000]), ones, 26_000).tolist() == [1, 1, 0]
+    lengths = np.unique(np.random.default_rng(5).integers(5_000, 20_000, 1500))
+    taken = mixing.fit(lengths, np.ones(len(lengths), np.int64), int(lengths.sum()) // 3)
+    assert (taken * lengths).sum() == lengths.sum() // 3 and set(taken.tolist()) == {0, 1}
+    assert abs(lengths[taken == 1].mean() - lengths.mean()) < 1000  # not the longest ones
+    other = mixing.fit(lengths, np.ones(len(lengths), np.int64), int(lengths.sum()) // 3, seed=(7,))
+    assert (other != taken).any()
+
+
 def check_mix(rows, near):
     """rows: (source, size, source_size, target, copies)."""
     size, taken, target = Counter(), Counter(), {}
