@@ -75,11 +75,11 @@ class Graph:
                 old = np.concatenate(inside)
                 far, far_ids = q @ self.vectors[old].T, np.broadcast_to(old, (len(new), len(old)))
             else:
-                if l < top:
-                    start = self._descend(q, l + 1)
-                    # nodes of the level above that have not joined this level yet have no links here
-                else:
-                    start = np.broadcast_to(inside[0][:1], (len(new), 1))
+                old = np.concatenate(inside)
+                start = old[(q @ self.vectors[old[:64]].T).argmax(axis=1)][:, None]
+                if l < top:  # nodes of the level above that have not joined this level yet have no links here
+                    near = self._descend(q, l + 1)
+                    start = np.where(np.isin(near, old), near, start)
                 far_ids, far = self._beam(l, q, start, beam)
             ids, sims = np.concatenate((far_ids, ids), 1), np.concatenate((far, sims), 1)
         keep = min(beam, ids.shape[1])

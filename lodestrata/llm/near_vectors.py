@@ -4,8 +4,10 @@
 2. Classes are dealt to shards by a hash; each shard's graph is built in one task and written to the shared folder.
 3. Every block of classes queries every shard: an equi-join on the cell (shard, block). A query whose beam is full of
    links is searched again with twice the beam, until the beam ends below the limit, so large groups are counted whole.
-   A sample of each cell's queries is compared with brute force over the shard; where the links found fall short of
-   ``RECALL``, the cell's beam doubles, up to the whole shard.
+   A sample of each cell's queries is compared with brute force over the shard, in strata by the number of links, each
+   query's own vector aside (where it has no links, its nearest vector has to be found): where the mean recall of a
+   query falls short of ``RECALL`` in a stratum, the cell's beam doubles, and after the widest the cell is scanned
+   exactly, by blocks.
 4. Links are confirmed by their cosine in double precision. A cell returns, for each query, the number of rows that it
    links to, and a spanning forest of its links: rows in proportion to its vectors however large a group is.
 5. Components of the forests.
@@ -33,7 +35,7 @@ from .topk import usable
 LIMIT = 0.95
 #: Classes of one shard and of one block of queries; least number of shards, so that a small table still spreads.
 SHARD, BLOCK, SHARDS = 50_000, 10_000, 6
-BEAM, RECALL, AUDIT = 32, 0.98, 128
+BEAM, WIDEST, RECALL, AUDIT = 32, 256, 0.98, 128
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -82,20 +84,48 @@ def _roots(n: int, links: list[tuple[int, int]]) -> list[int]:
     return up
 
 
+def _scanned(q: np.ndarray, v: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of all queries by brute force, in parts."""
+    size = max(16, min(512, (1 << 23) // max(1, len(v))))
+    for i in range(0, len(q), size):
+        at, to = np.nonzero(q[i : i + size] @ v.T >= limit - 1e-9)
+        for low in range(0, len(at), 65536):
+            a, t = at[low : low + 65536] + i, to[low : low + 65536]
+            keep = np.einsum("nd,nd->n", q[a], v[t]) >= limit
+            yield a[keep], t[keep]
+
+
+def _passes(rep: np.ndarray, graph: Graph, q_rep: np.ndarray, q: np.ndarray, v: np.ndarray, limit: float, beam: int) -> bool:
+    """Whether the beam finds ``RECALL`` of a query's links on average, in each stratum of queries by number of links."""
+    sims = q @ v.T
+    sims[q_rep[:, None] == rep[None, :]] = -np.inf
+    links = (sims >= limit).sum(axis=1)
+    got = np.zeros(len(q), np.int64)
+    for at, to in _found(graph, q, v, beam, limit):
+        other = q_rep[at] != rep[to]
+        np.add.at(got, at[other], 1)
+    recall = np.minimum(got / np.maximum(links, 1), 1.0)
+    none = np.flatnonzero((links == 0) & np.isfinite(sims.max(axis=1)))
+    if len(none):
+        ids, _ = graph.search(q[none].astype(np.float32), beam)
+        best = sims[none].max(axis=1)
+        recall[none] = (np.where(ids >= 0, sims[none][np.arange(len(none))[:, None], ids], -np.inf).max(axis=1) >= best - 1e-6)
+    recall[np.setdiff1d(np.flatnonzero(links == 0), none)] = 1.0
+    stratum = np.ceil(np.log2(links + 1)).astype(np.int64)
+    return all(recall[stratum == s].mean() >= RECALL for s in np.unique(stratum))
+
+
 def search_cell(rep: np.ndarray, count: np.ndarray, graph: Graph, q_rep: np.ndarray, q: np.ndarray, v: np.ndarray, limit: float, beam: int = BEAM) -> pd.DataFrame:
     """Rows (a, b, n): for each query with links one to a linked node and the rows linked (n), then links among nodes
     that queries tied together (n is 0)."""
     audited = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(np.int64))
-    while beam < len(v):
-        true = int((q[audited] @ v.T >= limit).sum())
-        got = sum(len(a) for a, _ in _found(graph, q[audited], v, beam, limit))
-        if got >= RECALL * true:
-            break
+    while beam <= min(WIDEST, len(v) - 1) and not _passes(rep, graph, q_rep[audited], q[audited], v, limit, beam):
         beam *= 2
+    parts = _found(graph, q, v, beam, limit) if beam <= min(WIDEST, len(v) - 1) else _scanned(q, v, limit)
     n_links = np.zeros(len(q), np.int64)
     some = np.full(len(q), -1, np.int64)
     up = np.arange(len(v))
-    for at, to in _found(graph, q, v, beam, limit):
+    for at, to in parts:
         other = q_rep[at] != rep[to]
         at, to = at[other], to[other]
         np.add.at(n_links, at, count[to])

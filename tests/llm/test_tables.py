@@ -339,3 +339,28 @@ def test_graph_finds_neighbours():
     assert (g.search(q, 32)[0][:, 0] == (q @ v.T).argmax(axis=1)).mean() > 0.97
     for n in (1, 2, 5):
         assert (Graph.build(v[:n]).search(v[:n], n)[0][:, 0] == np.arange(n)).all()
+
+
+def test_small_groups_beside_a_hot_one_are_found():
+    """A graph whose links lead to the hot group only: the audit has to see the pairs missing."""
+    rng = np.random.default_rng(6)
+    hot, pairs = rng.normal(size=32) + 0.02 * rng.normal(size=(400, 32)), np.repeat(rng.normal(size=(400, 32)), 2, axis=0)
+    v = np.concatenate((hot, pairs + 0.01 * rng.normal(size=pairs.shape)))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    inner = Graph.build(v[:400].astype(np.float32))
+    alone = np.full((len(v), inner.links[0].shape[1]), -1, np.int32)
+    alone[:400] = inner.links[0]
+    rep = np.arange(len(v))
+    got = near_vectors.search_cell(rep, np.ones(len(v), np.int64), Graph(v.astype(np.float32), [alone], np.arange(1)), rep, v, v, 0.95)
+    want = ((v @ v.T) >= 0.95).sum(axis=1) - 1
+    assert want[400:].tolist() == [1] * 800
+    assert got[got["n"] > 0].set_index("a")["n"].sort_index().tolist() == want.tolist()
+
+
+def test_nodes_of_a_level_above_join_from_others():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20_000, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    links = Graph.build(v).links[0]
+    assert (links[:, 0] >= 0).all() and ((links >= 0).sum(axis=1) > 1).all()
+    assert not (links == np.arange(len(v))[:, None]).any()
