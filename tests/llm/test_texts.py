@@ -169,6 +169,25 @@ def test_all_stretches_are_joined():
     assert html_text.main_text("<p>Home</p><div>" + "".join(f"<article>{x}</article>" for x in parts) + "</div>") == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout has-sidebar'><p>{0}</p></div>",
+        "<article class='post no-comments'><p>{0}</p></article>",
+        "<main class=with-banner><p>{0}</p></main>",
+        "<div id=social-policy><p>{0}</p></div>",
+        "<div class=sidebar><article><p>{0}</p></article></div>",
+        "<div class=widget><p>{0}</p></div><div class=comments><p>no</p></div>",
+        "<body><form id=aspnetForm><div><p>{0}</p></div></form></body>",
+        *(f"<div><{x} a=b>no</div><p>{{0}}</p>" for x in ("svg", "object", "audio", "video", "canvas", "select")),
+        "<body><video src=x><p>{0}</p></body>",
+        "<p>{0}</p><div class='cookie-banner'><p>no</p></div><div class=comment-list>no</div><svg><title>no</title></svg>",
+    ],
+)
+def test_noise_is_what_a_box_is_named(page):
+    assert html_text.main_text(page.format(LONG)) == LONG.strip()
+
+
 def test_op9_odd_rows(spark):
     rows = [(1, None, None), (None, "u", "<p>x"), (2, "u", ""), (3, "u", "<p>" + "y " * 200_000), (3, "u", "<div" * 2000)]
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("main_text", F.lit(1))).collect()
