@@ -4,16 +4,23 @@ Plan, every table distributed and staged in the shared folder:
 
 1. one pass over the texts makes, for each row, the size and fingerprint of its shingle set, its registers and band keys;
 2. rows of equal sets fold into one class (a hash aggregate, so a group of any size folds map-side first);
-3. band keys that two classes share become buckets; buckets with the same members fold into one;
-4. a bucket of more than ``BLOCK`` members is cut into blocks, and each pair of blocks is a cell of bounded size, so the
-   work of one hot bucket spreads over many tasks; no pair is emitted before it is confirmed;
-5. a cell tests a pair in the first of their common buckets only, skips pairs that it has already joined, drops pairs
-   whose likelihood estimate is over four standard deviations below the limit, and confirms the rest on full sets; it
-   returns a spanning forest of the confirmed links;
-6. components of these links, and the smallest id of each.
+3. band keys that two classes share are buckets; the full sets of their members are made once;
+4. a bucket is cut into blocks of bounded members and bytes. In the first round each class goes to one block of its
+   largest bucket among the first bands, where it meets the rest of the block and the bucket's pivot, which goes to all
+   blocks: rows in proportion to the classes, however large a bucket is. Most members of a bucket are alike, so most are
+   connected by now;
+5. of all bands, buckets whose members are in one component are settled and sent nowhere; buckets with the same members
+   are one. In the exact round members outside a bucket's largest component go to each of its blocks, all others to
+   their own, so each pair that is not yet known to be connected meets in a cell. Where that were more than ``WIDE`` times
+   a bucket's members, rounds with a pivot from among those outside and blocks dealt anew come before (``ROUNDS`` at most,
+   while they connect much);
+6. a cell skips pairs that are connected, drops pairs whose likelihood estimate is over four standard deviations below
+   the limit, and confirms the rest on full sets; it returns a spanning forest of the confirmed links;
+7. components of these links, and the smallest id of each.
 
 Null texts, and texts without words, have an empty set and link with nothing. Rows that repeat an id are separate rows.
-A null id takes part; it is never the smallest of a component unless all are null.
+A null id takes part; it is never the smallest of a component unless all are null. An empty table gives no rows. Columns
+other than the id and the text are not looked at, whatever their names. Sets are held as 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -22,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import setsketch as ss
 from .common import load, slots, stage
-from .components import components
+from .components import components, contracted
 
-#: Members of one block; a cell holds two blocks at most.
-BLOCK = 192
+#: Classes, and bytes of their full sets, that one block holds on average. A cell is a block and what meets it there.
+BLOCK, BLOCK_BYTES = 192, 32 << 20
+#: Bands of the first round; rounds with further pivots before the exact one, for buckets that would otherwise be sent
+#: more than so many times over.
+FIRST, ROUNDS, WIDE = 4, 3, 4
 #: Standard deviations that an estimate may fall below the limit before the pair is dropped unchecked.
 SIGMAS = 4.0
 
@@ -57,101 +67,84 @@ def _sketches(k: int):
     return run
 
 
-def _cells(k: int):
-    """Texts of candidate classes to their rows in cells: full set, registers and kept buckets."""
+def _sets(k: int):
+    """Texts of candidate classes to their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["cell", "band", "row", "kept", "regs", "shingles"]
         for batch in batches:
-            out: list[tuple] = []
-            held = 0
-            for s, row, f1, f2, regs, kept in zip(ss.shingle_sets(batch.column("text"), k), *(batch.column(c) for c in ("row", "f1", "f2", "regs", "kept")), strict=True):
-                if ss.fingerprint(s) != (f1.as_py(), f2.as_py()):
-                    continue  # another row of the same id
-                row, regs, kept = row.as_py(), regs.as_py(), kept.as_py()
-                mine = np.zeros(ss.BANDS, np.int64)
-                for x in kept:
-                    mine[x["band"]] = x["key"]
-                data, mine = s.tobytes(), mine.tobytes()
-                for x in kept:
-                    n = -(-x["members"] // BLOCK)
-                    own = (row * 0x9E3779B97F4A7C15 >> 17) % n
-                    for other in range(n):
-                        low, high = min(own, other), max(own, other)
-                        out.append((f"{x['key']}.{low}.{high}", x["band"], row, mine, regs, data))
-                        held += len(data) + 700
-                        if held > 16_000_000:
-                            yield pa.RecordBatch.from_pylist([dict(zip(names, o, strict=True)) for o in out], schema=CELLS)
-                            out, held = [], 0
-            yield pa.RecordBatch.from_pylist([dict(zip(names, o, strict=True)) for o in out], schema=CELLS)
+            for start in range(0, len(batch), 256):
+                part = batch.slice(start, 256)
+                sets = ss.shingle_sets(part.column("text"), k)
+                same = [ss.fingerprint(s) == f for s, f in zip(sets, zip(part.column("f1").to_pylist(), part.column("f2").to_pylist(), strict=True), strict=True)]
+                own = part.filter(pa.array(same, pa.bool_()))  # not another row of the same id
+                yield pa.record_batch([own.column("row"), own.column("regs"), pa.array([s.tobytes() for s, x in zip(sets, same, strict=True) if x], pa.binary())], ["row", "regs", "shingles"])
 
     return run
 
 
-CELLS = pa.schema([("cell", pa.string()), ("band", pa.int32()), ("row", pa.int64()), ("kept", pa.binary()), ("regs", pa.binary()), ("shingles", pa.binary())])
-
-
-def _links_of_cell(rows: list[tuple], num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links among the rows of one cell, each (band, row, kept, regs, shingles), in the order of row."""
-    n, band = len(rows), rows[0][0]
-    ids = [r[1] for r in rows]
-    kept = np.frombuffer(b"".join(r[2] for r in rows), np.int64).reshape(n, -1)
-    regs = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(n, -1)
-    size = np.array([len(r[4]) // 8 for r in rows])
-    sets: list[frozenset | None] = [None] * n
-    up = list(range(n))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+def _links_of_cell(rows: list[tuple], num: int, den: int, exact: bool) -> list[tuple[int, int]]:
+    """Links that span the components among the rows of one cell, each (block, wide, row, label, band, kept, regs,
+    shingles), rows that go to many blocks first. Equal labels are connected already. In the exact round a pair is looked
+    at in its first common bucket alone, and two wide rows in the first block alone."""
+    n = len(rows)
+    label = np.array([r[3] for r in rows], np.int64)
+    if (label == label[0]).all():
+        return []
+    part, band, again = label.copy(), rows[0][4], np.array([r[0] > 0 and r[1] for r in rows])
+    regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(n, -1)
+    mine = np.zeros((n, ss.BANDS), np.int64)
+    for i, r in enumerate(rows if exact else ()):
+        for x in r[5]:
+            mine[i, x["band"]] = x["key"]
+    sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+    size = np.array([len(s) for s in sets])
     limit = num / den
     floor = limit - SIGMAS * np.sqrt(limit * (1 - limit) / regs.shape[1])
-    found = []
     for i in range(n - 1):
-        rest = np.arange(i + 1, n)
+        rest = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1
         rest = rest[den * np.minimum(size[rest], size[i]) >= num * np.maximum(size[rest], size[i])]
-        if len(rest):
-            common = (kept[rest] == kept[i]) & (kept[i] != 0)
+        if exact and again[i]:
+            rest = rest[~again[rest]]
+        if exact and len(rest):
+            common = (mine[rest] == mine[i]) & (mine[i] != 0)
             rest = rest[common.argmax(axis=1) == band]
         if not len(rest):
             continue
         more, less = (regs[i] > regs[rest]).sum(axis=1), (regs[i] < regs[rest]).sum(axis=1)
         near = ss.likely_jaccard(more, less, regs.shape[1] - more - less, np.full(len(rest), size[i]), size[rest]) >= floor
         for j in rest[near].tolist():
-            a, b = top(i), top(j)
-            if a == b:
+            if part[i] == part[j]:
                 continue
-            for x in (i, j):
-                if sets[x] is None:
-                    sets[x] = frozenset(np.frombuffer(rows[x][4], np.uint64).tolist())
-            both = len(sets[i] & sets[j])
+            both = ss.common(sets[i], sets[j])
             if den * both >= num * (int(size[i]) + int(size[j]) - both):
-                up[a] = b
-                found.append((ids[i], ids[j]))
+                part[part == part[j]] = part[i]
+    found = []
+    for at in np.unique(part[part != label]):
+        inside = np.flatnonzero(part == at)
+        ends = inside[np.unique(label[inside], return_index=True)[1]]
+        root = rows[int(ends.max())][2]  # not the pivot, which is in every cell of its bucket
+        found += [(rows[int(x)][2], root) for x in ends if rows[int(x)][2] != root]
     return found
 
 
-def _confirm(num: int, den: int):
-    """Rows sorted by cell to links; a cell may run over several batches."""
+def _confirm(num: int, den: int, exact: bool):
+    """Rows sorted by cell, wide rows first, to links; a cell may run over several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
 
         def links() -> pa.RecordBatch:
-            got = _links_of_cell(rows, num, den) if len(rows) > 1 else []
+            got = _links_of_cell(rows, num, den, exact) if len(rows) > 1 else []
             return pa.record_batch([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for cell, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell != at:
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, row[0]) != at:
                     if rows:
                         yield links()
-                    at, rows = cell, []
-                elif row[1] == rows[-1][1]:
-                    continue  # the same class again, from a repeated id
+                    at, rows = (key, row[0]), []
+                elif row[2] in (rows[0][2], rows[-1][2]):
+                    continue  # the same class again: a pivot in its own block, or from a repeated id
                 rows.append(tuple(row))
         if rows:
             yield links()
@@ -159,6 +152,82 @@ def _confirm(num: int, den: int):
     return run
 
 
+def _met(held: DataFrame, jobs: DataFrame, num: int, den: int, turn: int, exact: bool) -> DataFrame:
+    """Links found where classes meet. jobs: row, label and kept, the buckets it goes to: key, band, blocks, wide (whether
+    to all blocks of the bucket)."""
+    rows = held.join(jobs, "row").select("row", "label", "kept", "regs", "shingles", F.explode("kept").alias("x"))
+    own = F.array(F.pmod(F.xxhash64("row", "x.key", F.lit(turn)), F.col("x.blocks")).cast("int"))
+    block = F.explode(F.when(F.col("x.wide"), F.sequence(F.lit(0), (F.col("x.blocks") - 1).cast("int"))).otherwise(own))
+    dealt = rows.select("x.key", block.alias("block"), "x.wide", "row", "label", "x.band", "kept", "regs", "shingles")
+    dealt = dealt.repartition(slots(held.sparkSession), "key", "block").sortWithinPartitions("key", "block", F.desc("wide"), "row")
+    return stage(dealt.mapInArrow(_confirm(num, den, exact), "a long, b long"), "links")
+
+
+def _blocks(members: str, shingles: str) -> Column:
+    return F.greatest(F.ceil(F.col(members) / BLOCK), F.ceil(F.col(shingles) * 8 / BLOCK_BYTES)).alias("blocks")
+
+
+def _entries(classes: DataFrame, bands: int = ss.BANDS, more: tuple[str, ...] = ()) -> DataFrame:
+    return classes.select("row", "n", *more, F.posexplode(F.slice("keys", 1, bands)).alias("band", "key"))
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """Band keys that classes share: key, members, blocks, pivot."""
+    pivot = F.min(F.struct(F.xxhash64("row", F.lit(0)).alias("lot"), "row"))["row"].alias("pivot")
+    found = _entries(classes).groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), pivot)
+    return found.where("members > 1").select("key", "members", _blocks("members", "shingles"), "pivot")
+
+
+def _first_jobs(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Each class in its largest bucket of the first bands, and in all where it is the pivot of several blocks."""
+    job = lambda wide: F.struct("key", "band", "blocks", F.lit(wide).alias("wide"))
+    pivots = F.collect_list(F.when((F.col("row") == F.col("pivot")) & (F.col("blocks") > 1), job(True)))
+    largest = F.array(F.max_by(job(False), F.struct("members", "key")))
+    placed = _entries(classes, FIRST).join(buckets, "key")
+    return placed.groupBy("row").agg(F.col("row").alias("label"), F.concat(pivots, largest).alias("kept"))
+
+
+def _connected(held: DataFrame, classes: DataFrame, jobs: DataFrame, num: int, den: int) -> DataFrame:
+    """Components of the confirmed links: node, label. classes: row, n, keys, of all classes that share a band key."""
+    edges = contracted(_met(held, jobs, num, den, 0, False), "a", "b", 1)
+    entries, turn, before = _entries(classes), 0, None
+    while True:
+        turn += 1
+        labels = edges.groupBy(F.col("u").alias("row")).agg(F.min("v").alias("label"))
+        placed = classes.join(labels, "row", "left").select("row", F.coalesce("label", "row").alias("label"))
+        placed = entries.join(placed, "row") if turn > 1 else _entries(classes.join(placed, "row"), more=("label",))
+        lot = F.xxhash64("row", F.lit(3))
+        parts = placed.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.sum(lot % F.lit(1 << 40)).alias("s1"), F.bit_xor(lot).alias("s2"))
+        whole = [F.count("*").alias("parts"), F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main")]
+        whole += [F.sum("shingles").alias("shingles"), F.sum("s1").alias("s1"), F.bit_xor("s2").alias("s2")]
+        unsettled = parts.groupBy("key").agg(*whole).where("parts > 1")
+        unsettled = unsettled.select("key", "main", "members", "s1", "s2", (F.col("members") - F.col("most")).alias("outside"), _blocks("members", "shingles"))
+        # buckets of the same members are one
+        unsettled = stage(unsettled.groupBy("members", "s1", "s2").agg(F.min(F.struct("key", "main", "outside", "blocks")).alias("x")).select("members", "x.*"), "unsettled")
+        here = placed.join(unsettled, "key")
+        hard = (F.col("blocks") > 1) & (F.col("outside") * F.col("blocks") > WIDE * F.col("members"))
+        left = unsettled.where(hard).agg(F.sum("outside")).first()[0] or 0
+        exact = turn > ROUNDS or not left or before is not None and left > 0.7 * before
+        before = left
+        if exact:
+            wide = (F.col("blocks") > 1) & (F.col("label") != F.col("main"))
+            kept = F.collect_list(F.struct("key", "band", "blocks", wide.alias("wide")))
+        else:
+            here = stage(here, "here")
+            entries = here.select("row", "n", "band", "key")
+            here = here.where(hard)
+            lot = F.struct(F.xxhash64("row", F.lit(turn)).alias("lot"), "row")
+            pivots = stage(here.where("label <> main").groupBy("key").agg(F.min(lot)["row"].alias("pivot")), "pivots")
+            here = here.join(pivots, "key")
+            job = lambda wide: F.struct("key", "band", "blocks", F.lit(wide).alias("wide"))
+            kept = F.concat(F.collect_list(F.when(F.col("row") == F.col("pivot"), job(True))), F.array(F.max_by(job(False), F.struct("outside", "key"))))
+        jobs = here.groupBy("row").agg(F.min("label").alias("label"), kept.alias("kept"))
+        found = edges.select("u", "v").union(_met(held, jobs, num, den, turn, exact).select("a", "b"))
+        if exact:
+            return components(found, "u", "v")
+        edges = contracted(found, "u", "v", 1)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, first.
 
@@ -166,7 +235,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable, ``first`` marks exactly one row of each component (of its smallest id; of rows that repeat it, one).
     An empty set links with nothing: its row is its own component.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     kind = docs.schema[id_col].dataType.simpleString()
     made = texts.select(F.monotonically_increasing_id().alias("row"), "id", "text", "mark").mapInArrow(_sketches(k), f"row long, id {kind}, mark long, n long, f1 long, f2 long, regs binary, keys array<long>")
@@ -174,18 +242,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     classes = stage(sketched.where("n > 0").groupBy("f1", "f2", "n").agg(least).select("f1", "f2", "n", F.col("least.row").alias("rep"), "least"), "classes")
-    reps = sketched.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    reps = stage(sketched.join(classes.select(F.col("rep").alias("row")), "row", "left_semi"), "reps")
 
-    entries = reps.select("row", F.posexplode("keys").alias("band", "key"))
-    buckets = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("row") % F.lit(1 << 40)).alias("s1"), F.expr("bit_xor(xxhash64(row, 3))").alias("s2")).where("members > 1")
-    buckets = buckets.groupBy("members", "s1", "s2").agg(F.min("key").alias("key")).select("key", "members")
-    kept = entries.join(buckets, "key").groupBy("row").agg(F.collect_list(F.struct("band", "key", "members")).alias("kept"))
-    wanted = stage(kept.join(sketched.select("row", "id", "mark", "f1", "f2", "regs"), "row"), "wanted").hint("shuffle_hash")
+    buckets = stage(_buckets(reps), "buckets")
+    jobs = stage(_first_jobs(reps, buckets), "jobs")
+    others = _entries(reps.join(jobs, "row", "left_anti")).join(buckets, "key", "left_semi").select("row").distinct()
+    wanted = stage(reps.join(jobs.select("row").union(others), "row"), "wanted")
 
     same = wanted["id"].eqNullSafe(texts["id"]) & (wanted["mark"] == texts["mark"])
-    cells = wanted.join(texts, same).select("row", "f1", "f2", "regs", "kept", "text").mapInArrow(_cells(k), "cell string, band int, row long, kept binary, regs binary, shingles binary")
-    links = cells.repartition(slots(spark), "cell").sortWithinPartitions("cell", "row").mapInArrow(_confirm(num, den), "a long, b long")
-    labels = components(links, "a", "b").withColumnsRenamed({"node": "rep"})
+    held = wanted.hint("shuffle_hash").join(texts, same).select("row", "f1", "f2", "regs", "text").mapInArrow(_sets(k), "row long, regs binary, shingles binary")
+    labels = _connected(stage(held, "sets"), wanted.select("row", "n", "keys"), jobs, num, den).withColumnsRenamed({"node": "rep"})
 
     joined = classes.join(labels, "rep", "left")
     heads = joined.where("label is not null").groupBy("label").agg(F.min("least").alias("head"))
@@ -197,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, n_shingles, component_id, kept, over sets of 4-word shingles and a similarity of 0.8."""
     found = near_duplicates(load(spark, sf_dir, "documents"), k=4)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, text_col: str = "text", k: int = 5) -> DataFrame:

@@ -147,6 +147,13 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sets share, both sorted and distinct."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
+
+
 def fingerprint(shingle: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit sums over the set; with its size they name equal sets."""
     with np.errstate(over="ignore"):

@@ -70,6 +70,21 @@ def test_chain_of_near_copies_in_one_hot_group(spark):
     assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows)
 
 
+@pytest.mark.parametrize("step", [1, 6])
+def test_hot_groups_of_many_blocks_and_parts(spark, monkeypatch, step):
+    """Blocks of 8: chains of copies that share their buckets with others they are not linked to, over several rounds."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rows = []
+    for part in range(3):
+        w = [f"w{i}" for i in range(100)] + [f"p{part}x{i}" for i in range(14)]
+        for i in range(60):
+            w = list(w)
+            w[(i * 7 * step) % 100] = f"n{part}x{i}"
+            rows.append((1000 * part + i, " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows)
+
+
 def test_deduplicated_keeps_one_whole_row(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(1, text, "a"), (1, text, "b"), (2, text + " z", "c"), (3, None, "d"), (4, None, "e")]
