@@ -2,33 +2,45 @@
 
 Vectors are turned into integers and sorted into blocks by descending length, by a range shuffle. A rotation that puts
 most of the length into the first components (from the singular vectors of a bounded sample; any rotation is exact, a
-good one prunes more) is applied to vectors and queries. The block of the longest vectors gives every query a first
-lower bound for its k-th best score. Then each cell of one block and one group of queries goes through its vectors in
-descending length: a query whose bound is above length times length is done with the block; of the others, the sum over
-the first rotated components plus the product of the lengths of the rest (Cauchy-Schwarz) drops most vectors; for those
-left the integer product is computed exactly, and the bound rises.
-
-A block and a group of queries have bounded sizes, queries meet every block by an equi-join on the cell, and each cell
-returns k rows a query at most. Nothing is broadcast but the rotation.
+good one prunes more) is applied to vectors and queries. The sample and some of the longest vectors give every query a
+first lower bound for its k-th best score. Queries are written once, with their bounds, to the shared folder. Then each
+block is one task: it holds its vectors, reads the queries in groups of bounded size, and for each group through its vectors in
+descending length: a query whose bound is above length times length is done with the block; of the others, partial sums
+over the first 16, then 32 rotated components plus the product of the lengths of the rest (Cauchy-Schwarz) drop vectors
+and queries; for those left the integer products are computed exactly (in doubles while they are below 2^53), and the
+bound rises.
+
+Vectors are shuffled once and queries are read by each block, so nothing is sent in proportion to blocks times groups. A
+block returns k rows a query at most, and only those that reach its bound. The closures hold the rotation and the
+sample and the long vectors, bounded in number and bytes; in which order tasks run changes no score.
+
+Vectors that are null or hold null or non-finite components are neither queries nor candidates. An empty table, or one
+without queries, gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, stage
+from .common import load, stage, work_path
 
-#: Vectors of one block and queries of one group, on average.
-BLOCK, GROUP = 20_000, 2_048
+#: Vectors of one block and queries of one file on average, and bytes of either that they stay within.
+BLOCK, GROUP, BYTES = 65_536, 2_048, 64 << 20
 #: Least number of blocks, so that a small table still spreads.
 BLOCKS = 6
-#: Vectors that the rotation is fitted on.
-SAMPLE = 4_096
-CHUNK, HEAD = 512, 16
+#: Vectors that the rotation is fitted on, and of which the first bounds are taken; bytes that either stays within.
+SAMPLE, LONGEST, HELD = 4_096, 1_024, 16 << 20
+CHUNK, HEADS = 1_024, (16, 32)
+#: Shares of the rows, of which one is taken to find long vectors.
+_SHARES = [1.0, 0.1, 0.01, 0.001, 0.0001]
 _EXACT = float(1 << 53)
 
 
@@ -37,70 +49,119 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
-def _matrix(column: pd.Series, d: int) -> np.ndarray:
-    return np.array(column.tolist(), np.float64).reshape(len(column), d)
+def _matrix(column: pa.Array, d: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), d)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of whole numbers, as integers; held within the range of a long."""
-    if a.size == 0 or max(1, a.shape[1]) * max(1.0, np.abs(a).max()) * max(1.0, np.abs(b).max()) < _EXACT:
-        return np.einsum("ij,ij->i", a, b).astype(np.int64)
+    """Exact inner products of each row of a with each of b, rows of whole numbers, held within the range of a long."""
+    if a.size == 0 or b.size == 0 or a.shape[1] * max(1.0, np.abs(a).max()) * max(1.0, np.abs(b).max()) < _EXACT:
+        return (a @ b.T).astype(np.int64)
     low, high = -(1 << 63), (1 << 63) - 1
-    return np.array([min(high, max(low, sum(int(x) * int(y) for x, y in zip(p, q, strict=True)))) for p, q in zip(a, b, strict=True)], np.int64)
-
-
-class _Best:
-    """The k best (score, id) of each query; ties to the smaller id, a null id last."""
-
-    def __init__(self, n: int, k: int, bound: np.ndarray) -> None:
-        self.k, self.bound = k, bound
-        self.query = np.empty(0, np.int64)
-        self.score, self.row = self.query, self.query
-        self.id, self.null = self.query, np.empty(0, bool)
-        self.n = n
-
-    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, null: np.ndarray, row: np.ndarray) -> None:
-        q, s, i, z, r = (np.concatenate(x) for x in ((self.query, query), (self.score, score), (self.id, ids), (self.null, null), (self.row, row)))
-        order = np.lexsort((r, i, z, ~s, q))
-        q = q[order]
-        start = np.searchsorted(q, q)
-        keep = order[np.arange(len(q)) - start < self.k]
-        self.query, self.score, self.id, self.null, self.row = (np.concatenate(x)[keep] for x in ((self.query, query), (self.score, score), (self.id, ids), (self.null, null), (self.row, row)))
-        full, first = np.unique(self.query, return_index=True)
-        last = np.append(first[1:], len(self.query)) - 1
-        whole = last - first + 1 == self.k
-        self.bound[full[whole]] = np.maximum(self.bound[full[whole]], self.score[last[whole]].astype(np.float64))
-
-
-def search_block(queries: pd.DataFrame, vectors: pd.DataFrame, rotation: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of one block for each query of a group, as far as they can be among the k best of all."""
-    d = len(rotation)
-    vectors = vectors.sort_values(["norm", "row"], ascending=[False, True], ignore_index=True)
-    q, v = _matrix(queries["v"], d), _matrix(vectors["v"], d)
-    q_row, v_row = queries["row"].to_numpy(np.int64), vectors["row"].to_numpy(np.int64)
-    null = vectors["id"].isna().to_numpy()
-    ids = vectors["id"].fillna(0).to_numpy(np.int64)
-    q_turned, v_turned = q @ rotation, v @ rotation
-    head = min(HEAD, d)
-    q_norm, v_norm = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
-    q_rest, v_rest = np.sqrt((q_turned[:, head:] ** 2).sum(axis=1)), np.sqrt((v_turned[:, head:] ** 2).sum(axis=1))
-    best = _Best(len(q), k, queries["bound"].fillna(-np.inf).to_numpy(np.float64).copy())
-    active = np.arange(len(q))
-    for low in range(0, len(v), CHUNK):
-        high = min(low + CHUNK, len(v))
-        slack = 1e-9 * (1.0 + q_norm[active] * v_norm[low])
-        active = active[q_norm[active] * v_norm[low] + slack >= best.bound[active]]
+    whole = [[int(x) for x in r] for r in b]
+    return np.array([[min(high, max(low, sum(x * y for x, y in zip(p, q, strict=True)))) for q in whole] for p in ([int(x) for x in r] for r in a)], np.int64)
+
+
+class _Turned:
+    """Rows, turned, with their lengths and the lengths of what lies beyond each head."""
+
+    def __init__(self, v: np.ndarray, rotation: np.ndarray) -> None:
+        self.v, d = v, len(rotation)
+        heads = [h for h in HEADS if h < d] or [d]
+        turned = v @ rotation
+        self.head = turned[:, : heads[-1]].copy()
+        square = turned * turned
+        self.rest = [np.sqrt(square[:, h:].sum(axis=1)) for h in heads]
+        self.heads = heads
+        self.norm = np.sqrt((v * v).sum(axis=1))
+
+
+def search(q: _Turned, q_row: np.ndarray, bound: np.ndarray, v: _Turned, v_row: np.ndarray, v_id: np.ndarray, v_null: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the k best of a block for each query, as far as they reach its bound, which rises.
+
+    Vectors stand in descending length. Ties go to the smaller id, a null id last, then to the smaller row.
+    """
+    at = to = score = np.empty(0, np.int64)
+    active = np.arange(len(bound))
+    for low in range(0, len(v.norm), CHUNK):
+        cut = slice(low, low + CHUNK)
+        most = q.norm[active] * v.norm[low]
+        active = active[~(most + 1e-9 * (1.0 + most) < bound[active])]
         if not len(active):
             break
-        most = q_turned[active, :head] @ v_turned[low:high, :head].T + np.outer(q_rest[active], v_rest[low:high])
-        slack = 1e-9 * (1.0 + np.outer(q_norm[active], v_norm[low:high]))
-        at, to = np.nonzero((most + slack >= best.bound[active][:, None]) & (q_row[active][:, None] != v_row[low:high][None, :]))
-        if not len(at):
+        some, near = active, np.arange(low, min(low + CHUNK, len(v.norm)))
+        slack = 1e-9 * (1.0 + q.norm[:, None][some] * v.norm[low])
+        for h, q_rest, v_rest in zip(q.heads, q.rest, v.rest, strict=True):
+            over = ~(q.head[some, :h] @ v.head[near, :h].T + np.outer(q_rest[some], v_rest[near]) + slack < bound[some][:, None])
+            rows, columns = over.any(axis=1), over.any(axis=0)
+            some, near, slack = some[rows], near[columns], slack[rows]
+            if not len(some):
+                break
+        if not len(some):
+            continue
+        got = _products(q.v[some], v.v[near])
+        r, c = np.nonzero((got >= bound[some][:, None]) & (q_row[some][:, None] != v_row[near][None, :]))
+        if not len(r):
             continue
-        at, to = active[at], to + low
-        score = np.concatenate([_products(q[at[i : i + 65536]], v[to[i : i + 65536]]) for i in range(0, len(at), 65536)])
-        best.add(at, score, ids[to], null[to], v_row[to])
-    return pd.DataFrame({"query": q_row[best.query], "row": best.row, "id": pd.arrays.IntegerArray(best.id.copy(), best.null.copy()), "score": best.score})
+        at, to, score = np.concatenate((at, some[r])), np.concatenate((to, near[c])), np.concatenate((score, got[r, c]))
+        order = np.lexsort((v_row[to], v_id[to], v_null[to], ~score, at))
+        at = at[order]
+        start = np.searchsorted(at, at)
+        keep = np.arange(len(at)) - start < k
+        at, to, score = at[keep], to[order][keep], score[order][keep]
+        full, first, number = np.unique(at, return_index=True, return_counts=True)
+        last = (first + number - 1)[number == k]
+        bound[full[number == k]] = np.maximum(bound[full[number == k]], score[last].astype(np.float64))
+    return at, to, score
+
+
+def _first_bounds(q: np.ndarray, q_row: np.ndarray, longest: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best product with the longest vectors, the query itself aside; -inf where they are fewer."""
+    out = np.full(len(q), -np.inf)
+    for low in range(0, len(q), 512):
+        got = _products(q[low : low + 512], longest).astype(np.float64)
+        got[q_row[low : low + 512][:, None] == rows[None, :]] = -np.inf
+        if got.shape[1] >= k:
+            out[low : low + 512] = np.partition(got, got.shape[1] - k, axis=1)[:, got.shape[1] - k]
+    return out
+
+
+def _bounded(k: int, d: int, held: np.ndarray, rows: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = _first_bounds(_matrix(batch.column(1), d), batch.column(0).to_numpy(), held, rows, k)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(bound, pa.float64())], ["row", "v", "bound"])
+
+    return run
+
+
+def _searched(folder: str, rotation: np.ndarray, k: int, group: int):
+    """A block's vectors (row, id, v) to (query, row, id, score), the queries read from ``folder``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = len(rotation)
+        held = [(b.column(0).to_numpy(), b.column(1), _matrix(b.column(2), d)) for b in batches if len(b)]
+        if not held:
+            return
+        v_row, matrix = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+        v_id = pa.concat_arrays([h[1] for h in held])
+        v_null, v_id = v_id.is_null().to_numpy(zero_copy_only=False), v_id.fill_null(0).to_numpy()
+        del held
+        order = np.lexsort((v_row, -(matrix * matrix).sum(axis=1)))
+        v_row, v_id, v_null = v_row[order], v_id[order], v_null[order]
+        v = _Turned(matrix[order], rotation)
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        for info in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+            if not info.base_name.startswith("part-"):
+                continue
+            with fs.open_input_file(info.path) as f:
+                for asked in pq.ParquetFile(f).iter_batches(group):
+                    q_row = asked.column("row").to_numpy()
+                    bound = asked.column("bound").to_numpy(zero_copy_only=False).copy()
+                    at, to, score = search(_Turned(_matrix(asked.column("v"), d), rotation), q_row, bound, v, v_row, v_id, v_null, k)
+                    yield pa.record_batch([pa.array(q_row[at]), pa.array(v_row[to]), pa.array(v_id[to], mask=v_null[to]), pa.array(score)], ["query", "row", "id", "score"])
+
+    return run
 
 
 def top_products(vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -114,11 +175,12 @@ def top_products(vectors: DataFrame, id_col: str, vector_col: str, is_query: Col
     rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), is_query.alias("asks"), value.alias("v"), F.monotonically_increasing_id().alias("row"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     rows = stage(rows.withColumns({"d": F.size("v"), "norm": norm}), "whole")
-    counts = {r["d"]: (r["n"], r["q"]) for r in rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}
+    ends = F.percentile_approx("norm", F.array(*[F.lit(1 - x) for x in _SHARES])).alias("ends")
     found = None
-    for d, (n, asking) in sorted(counts.items()):
-        part = _search_length(spark, rows.where(F.col("d") == d), d, n, asking, k) if asking else None
-        found = part if found is None else found if part is None else found.union(part)
+    for r in sorted(rows.groupBy("d").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), ends).collect()):
+        if r["q"]:
+            part = _search_length(rows.where(F.col("d") == r["d"]), r["d"], r["n"], r["ends"], k)
+            found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row"))
@@ -127,31 +189,20 @@ def top_products(vectors: DataFrame, id_col: str, vector_col: str, is_query: Col
     return best.join(asked, "query").select("query_id", "rank", "id", "score")
 
 
-def _search_length(spark: SparkSession, rows: DataFrame, d: int, n: int, asking: int, k: int) -> DataFrame:
+def _search_length(rows: DataFrame, d: int, n: int, ends: list[float], k: int) -> DataFrame:
+    spark, bytes_ = rows.sparkSession, 8 * max(1, d)
     lot = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(lot < min(1.0, SAMPLE / n)).select("v").limit(2 * SAMPLE).collect()
-    rotation = np.linalg.svd(np.array([r["v"] for r in sample], np.float64).reshape(len(sample), d), full_matrices=True)[2].T if sample and d else np.eye(d)
-    blocks, groups = max(BLOCKS, -(-n // BLOCK)), -(-asking // GROUP)
-    schema = "query long, row long, id long, score long"
-    vectors = rows.repartitionByRange(blocks, F.desc("norm"), "row").select("row", "id", "v", "norm", F.spark_partition_id().alias("block"))
-    vectors = stage(vectors, "blocks")
-    asked = rows.where("asks").select("row", "v", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int").alias("group"))
-
-    def search(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="int64")})
-        return search_block(q, v, rotation, k)
-
-    def cells(q: DataFrame, v: DataFrame) -> DataFrame:
-        v = v.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        return q.groupBy("block", "group").cogroup(v.groupBy("block", "group")).applyInPandas(search, schema)
-
-    numbers = [r["block"] for r in vectors.select("block").distinct().orderBy("block").collect()]
-    first = cells(asked.withColumns({"block": F.lit(numbers[0]), "bound": F.lit(None).cast("double")}), vectors.where(F.col("block") == numbers[0]))
-    bounds = stage(first.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("bound")), "bounds")
-    q = asked.join(bounds.withColumnRenamed("query", "row"), "row", "left")
-    q = q.withColumn("block", F.explode(F.array(*map(F.lit, numbers)) if len(numbers) < 1000 else F.sequence(F.lit(0), F.lit(numbers[-1]))))
-    return stage(cells(q, vectors), "found")
+    size, long = min(SAMPLE, HELD // bytes_ + 1), min(LONGEST, HELD // bytes_ + 1)
+    sample = rows.where(lot < min(1.0, size / n)).select("row", "v").limit(2 * size).collect()
+    least = next((e for s, e in zip(reversed(_SHARES), reversed(ends), strict=True) if s * n >= long), ends[0])
+    held = {r["row"]: r["v"] for r in [*sample, *rows.where(F.col("norm") >= least).select("row", "v").limit(long).collect()]}
+    matrix = np.array(list(held.values()), np.float64).reshape(len(held), d)
+    rotation = np.linalg.svd(matrix[: len(sample)], full_matrices=True)[2].T if sample and d and np.isfinite(matrix).all() else np.eye(d)
+    folder, group = work_path(spark, "queries"), max(1, min(GROUP, BYTES // bytes_))
+    rows.where("asks").select("row", "v").mapInArrow(_bounded(k, d, matrix, np.array(list(held), np.int64)), "row long, v array<double>, bound double").write.parquet(folder)
+    blocks = max(BLOCKS, -(-n // max(1, min(BLOCK, BYTES // bytes_))))
+    dealt = rows.repartitionByRange(blocks, F.desc("norm"), "row").select("row", "id", "v")
+    return stage(dealt.mapInArrow(_searched(folder, rotation, k, group), "query long, row long, id long, score long"), "found")
 
 
 def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
