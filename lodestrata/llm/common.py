@@ -1,20 +1,17 @@
 """What the operators of this subpackage share: the shared work folder, staged tables and exact integer helpers.
 
-Nothing here keeps state between queries, and nothing is written outside the folder that the session names.
+Nothing is written outside the folder that the session names.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Words of a text: runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
@@ -42,18 +39,29 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     expressions that differ between evaluations (row numbers of a scan) one fixed value."""
     path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
-    _staged.append(path)
+    if _recording:
+        _recording[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_staged: list[str] = []
+_recording: list[list[str]] = []
+
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``stage`` writes inside the block, and of no others."""
+    paths: list[str] = []
+    _recording.append(paths)
+    try:
+        yield paths
+    finally:
+        _recording.pop()
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete the tables that ``stage`` wrote so far. Only for a caller that knows that no DataFrame reads them any more:
-    the pipeline, whose stages are written out before the next one starts."""
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables, for a caller that knows that no DataFrame reads them any more."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -62,13 +70,5 @@ def slots(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def word_count(text: Column) -> Column:
-    """Number of words of a text, 0 for null, in the JVM."""
-    parts = F.split(text, r"[\x20\x09-\x0D]+")
-    inner = F.size(parts).cast("long")
-    edge = F.when(parts[0] == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.when(text.isNull(), F.lit(0).cast("long")).otherwise(inner - edge)
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

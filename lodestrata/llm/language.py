@@ -4,8 +4,9 @@ A profile is a language's most frequent letter n-grams in order. A text's own mo
 every profile: each n-gram costs the distance between its two ranks, or the full length where the profile lacks it. The
 language at the least distance wins; of equal ones, the first by code point.
 
-Texts are lower-cased; every run of anything but letters is one word break, and n-grams of one to three letters keep
-the breaks at a word's ends. They are counted as packed integers in numpy, in pieces of bounded size, over whole texts.
+Texts are lower-cased; every run of anything but letters, and marks that follow letters, is one word break, and n-grams
+of one to three letters keep the breaks at a word's ends. They are counted as packed integers in numpy, in pieces of bounded size, over whole texts.
+Null texts and those without a letter have no language; an empty table gives no rows, and one without labels no profiles.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,11 +27,10 @@ from .common import load
 RANKS = 400
 #: Bound on the training sample: about so many rows of each language, chosen by a hash of the id.
 SAMPLE_ROWS = 2000
-#: Most languages that one model holds.
-LANGUAGES = 200
 UNKNOWN = "und"
 _PIECE = 1 << 18
-_GAPS = re.compile(r"[\W\d_]+").sub
+_PLAIN_GAPS = re.compile("[^a-z]+").sub
+_GAPS = regex.compile(r"[^\p{L}\p{M}]+\p{M}*|\A\p{M}+").sub
 _BREAK = ord("_")
 
 
@@ -54,7 +55,8 @@ def _count(codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarr
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text as integers in rising order, and their counts; none if it has no letter."""
-    words = _GAPS("_", (text or "").lower()).strip("_")
+    text = (text or "").lower()
+    words = (_PLAIN_GAPS if text.isascii() else _GAPS)("_", text).strip("_")
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     codes = np.frombuffer(f"_{words}_".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -116,9 +118,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     the same rows are taken however the table is split. All n-grams of the whole sampled texts are counted.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = rows.groupBy("lang").count().collect()  # one row for each language
     if not sizes:
         return Profiles([], ranks)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_rows / r["count"]))])

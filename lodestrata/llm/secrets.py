@@ -9,12 +9,14 @@ by Spark's own library on labelled findings (candidate, before, after, path, is_
 one of ``labelled_findings``, at most ``ROWS`` rows. Its trees are then written out as one expression over a candidate's
 features, so scanning and redacting are one map over each document: no shuffle, no Python, and memory of one document.
 
-Null and empty texts have no findings; a null path counts as an empty one.
+Null and empty texts have no findings; a null path counts as an empty one; an empty table has no rows. Columns other than
+the text and the path are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -45,7 +47,11 @@ _VALUE = r"""(?:(?<=")(?:[^"\r\n\\]++|\\[^"\r\n])++|(?<=')(?:[^'\r\n\\]++|\\[^'\
 _USERINFO = r"""(?<=://[^\s/:@"'<>]{0,64}:)[^\s/"'<>]+(?=@[\w\[])"""
 #: All candidates (lookbehind of bounded length, as the JVM has it), and what every text with one holds.
 FIND = f"{_KEY}|{_USERINFO}|{_LED}{_VALUE}|{CANDIDATE}"
-HAS = rf"{CANDIDATE}|://[^\s/@]*:[^\s/]+@|(?i:{_NAMES}[\w.\-]{{0,24}}[\"'`\\\]]{{0,3}}\s{{0,16}}[:=]|--[\w\-]{{0,20}}{_NAMES}|{_NAMES}\s{{1,2}}(?:is|was)\b|authorization)"
+HAS_LED = rf"(?i:{_NAMES}[\w.\-]{{0,24}}[\"'`\\\]]{{0,3}}\s{{0,16}}[:=]|--[\w\-]{{0,20}}{_NAMES}|{_NAMES}\s{{1,2}}(?:is|was)\b|authorization)"
+HAS_USERINFO = r"://[^\s/@]*:[^\s/]+@"
+# What a text must hold, in lower case, for a value that is led by a name, and for a candidate without digits.
+_LEADS = ("key", "secret", "pass", "pwd", "token", "credential", "authorization")
+_FORMS = ("eyJ", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "AKIA", "ASIA", "sk_live_", "sk-", "xox", "AIza", "npm_", "-----BEGIN")
 #: Characters of context on either side, and how many neighbouring candidates, of at least 3 characters with the gaps
 #: before them, those can reach over.
 CONTEXT, REACH = 48, 16
@@ -143,11 +149,11 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
 
     word = one("user data config page report value module sample order index file cache image table build client".split(), 5)
     word2 = one("list store test name path group event view total start query state panel model field input".split(), 9)
-    named = F.concat(one(["", "the ", "my_", "prod_", "x-", "export ", "aws_", "thand of ", "les eaux "], 13), one("token secret password api_key apikey access_key auth_token client_secret private_key TOKEN SECRET API_KEY PASSWORD".split(), 17), one([' = "', "=", ": ", ' = \'', ":", '": "', " "], 21))
+    named = F.concat(one(["", "the ", "my_", "prod_", "x-", "export ", "aws_", "the new ", "our_"], 13), one("token secret password api_key apikey access_key auth_token client_secret private_key TOKEN SECRET API_KEY PASSWORD".split(), 17), one([' = "', "=", ": ", ' = \'', ":", '": "', " "], 21))
     plain = one(["and the other ", "see ", "on the ", "la le que ", "der die ", "(", "", "of ", "file ", "at "], 25)
     code = F.concat(one(["commit ", "sha256:", "sha1 = \"", "md5: ", "checksum=", "hash: ", "etag \"", "revision ", "integrity: \"", "digest ", "build "], 29))
     ids = one(["id: ", "uuid=", "guid ", "request id ", "phone ", "card ", "order ", "invoice ", "account ", "tel: "], 33)
-    path = one(["src/app.py", "config/prod.env", "docs/readme.md", "tests/test_api.py", "package-lock.json", "src0", "src7", "web", "", "notes.txt", "go.sum"], 37)
+    path = one(["src/app.py", "config/prod.env", "docs/readme.md", "tests/test_api.py", "package-lock.json", "src/main.rs", "lib/util.js", "web", "", "notes.txt", "go.sum"], 37)
     end = one(['"', "'", " ", "\n", ",", " and the", '" enough', ". "], 41)
     size = one(["20", "24", "32", "32", "40", "40", "40", "48", "64", "64"], 45).cast("int")
     date = F.concat(F.lit("2024-0"), F.substring(digits, 1, 1), F.lit("-1"), F.substring(digits, 2, 1), F.lit("T0"), F.substring(digits, 3, 7))
@@ -225,15 +231,27 @@ def _case(lines, names: list[str]) -> str:
     return f"CASE WHEN f.{names[int(at)]} <= {float(bound)!r}D THEN {yes} ELSE {_case(lines, names)} END"
 
 
+def _holds(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
 def scanned(docs: DataFrame, forest: list[str], text_col: str = "text", path_col: str = "source", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every row as ``rec`` (a struct of the columns in ``keep``, by default all), its text, gaps and findings.
 
     findings: array of (candidate, score, is_secret) in the order of the text; gaps: what stands between them.
     """
     packed = docs.select(F.struct(*(keep or ["*"])).alias("rec"), F.col(text_col).alias("text"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
-    has = F.col("text").rlike(HAS)
+    # plain searches decide which patterns can match at all; most texts need none
+    led = F.exists(F.array(F.lower("text")), lambda t: _holds(t, _LEADS)) & F.col("text").rlike(HAS_LED) | F.col("text").contains("://") & F.col("text").rlike(HAS_USERINFO)
+    run = (F.col("text").rlike("[0-9]") | _holds(F.col("text"), _FORMS)) & F.col("text").rlike(CANDIDATE)
+    kind = F.when(led, F.lit(2)).when(run, F.lit(1)).otherwise(F.lit(0))
     none = F.array().cast("array<string>")
-    rows = packed.withColumns({"found": F.when(has, F.regexp_extract_all("text", F.lit(FIND), F.lit(0))).otherwise(none), "gaps": F.when(has, F.split("text", FIND, -1)).otherwise(none)})
+
+    def by_kind(f) -> Column:
+        return F.when(F.col("kind") == 2, f(FIND)).when(F.col("kind") == 1, f(f"{_KEY}|{CANDIDATE}")).otherwise(none)
+
+    rows = packed.withColumn("kind", kind)
+    rows = rows.withColumns({"found": by_kind(lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(0))), "gaps": by_kind(lambda p: F.split("text", p, -1))})
 
     # context is the text on either side, whether candidates or gaps
     rows = rows.withColumn("left", F.transform("found", lambda c, i: F.right(F.concat(F.get("gaps", i), c), F.lit(CONTEXT))))
@@ -267,5 +285,6 @@ def redacted(docs: DataFrame, forest: list[str], text_col: str = "text", path_co
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of all documents: doc_id, nth (from 1), finding_sha256, n_chars, score, is_secret."""
     rows = scanned(load(spark, sf_dir, "documents"), train(labelled_findings(spark)), keep=("doc_id",))
-    out = rows.select("rec.doc_id", F.posexplode("findings").alias("at", "f"))
+    # the inner form would have its non-empty test, with all that makes the findings, run once more below it
+    out = rows.select("rec.doc_id", F.posexplode_outer("findings").alias("at", "f")).where("f is not null")
     return out.select("doc_id", (F.col("at") + 1).alias("nth"), F.sha2("f.candidate", 256).alias("finding_sha256"), F.length("f.candidate").cast("long").alias("n_chars"), "f.score", "f.is_secret")

@@ -14,7 +14,7 @@ that nobody reads and never a torn one. Files go to the shared folder through py
 
 from __future__ import annotations
 
-import re
+import os
 import unicodedata
 import uuid
 import zlib
@@ -34,6 +34,8 @@ from tokenizers import Tokenizer
 from .common import load, slots, stage, work_path
 
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of text that one file holds on average, where that makes more files than the session has shuffle partitions.
+FILE_BYTES = 128 << 20
 SEQUENCE = 2048
 BATCH = 64
 END = 1
@@ -44,12 +46,13 @@ class WordIds:
 
     The vocabulary's rules (composed form, white space to one space, lower case, then runs of letters, single digits and
     runs of marks) never join over white space, so a text's ids are those of its runs in order. Where composing changes
-    nothing, A-Z may be lowered before, and a single stop or comma after a letter or digit is a run of its own.
+    nothing, A-Z may be lowered before; a single stop or comma after a plain letter or digit that ends a run has ids of its own.
     """
 
     LIMIT, LONG = 500_000, 64
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would spin
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.new: dict[bytes, bytes] = {}
@@ -60,9 +63,8 @@ class WordIds:
         if not text:
             return []
         low = text.lower()
-        if b"<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode())):
-            text = _STOPS(rb"\1 \2", low)
-        return text.split()
+        same = b"<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode()))
+        return (low if same else text).split()
 
     def ids_of(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """For each UTF-8 text its ids and the end id. Runs that the table lacks are encoded in one call."""
@@ -72,16 +74,23 @@ class WordIds:
         split = [self.runs(t) for t in texts]
         found = [list(map(known, runs)) for runs in split]
         lacking = {r for runs, parts in zip(split, found, strict=True) if None in parts for r, p in zip(runs, parts, strict=True) if p is None}
-        here = {r: before(r) for r in lacking}
-        fresh = [r for r, p in here.items() if p is None]
+        here = {r: p for r in lacking if (p := before(r)) is not None}
+        stopped = {r: (r[:-1], r[-1:]) for r in lacking if r not in here and r[-1:] in (b".", b",") and r[-2:-1] in _PLAIN}
+        wanted = {x for pair in stopped.values() for x in pair} | {r for r in lacking if r not in here and r not in stopped}
+        for r in wanted:
+            p = known(r) or before(r)
+            if p is not None:
+                here[r] = p
+        fresh = [r for r in wanted if r not in here]
         for r, e in zip(fresh, self.tokenizer.encode_batch_fast([r.decode() for r in fresh], add_special_tokens=False), strict=True):
             here[r] = np.array(e.ids, self.kind).tobytes()
+        here.update((r, here[x] + here[y]) for r, (x, y) in stopped.items())
         self.new.update((r, p) for r, p in here.items() if len(r) <= self.LONG)
         end = self.kind(END).tobytes()
-        return [np.frombuffer(b"".join([here[r] if p is None else p for r, p in zip(runs, parts, strict=True)]) + end, self.kind) for runs, parts in zip(split, found, strict=True)]
+        return [np.frombuffer(b"".join([here[r] if p is None else p for r, p in zip(runs, parts, strict=True)] if None in parts else parts) + end, self.kind) for runs, parts in zip(split, found, strict=True)]
 
 
-_STOPS = re.compile(rb"([a-z0-9])([.,])(?=[\s]|\Z)").sub
+_PLAIN = frozenset(bytes([x]) for x in b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @lru_cache(maxsize=1)
@@ -152,11 +161,15 @@ def _write(folder: str, path: str | None, length: int, id_type: pa.DataType):
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, length: int = SEQUENCE, path: str | None = None) -> DataFrame:
     """Write the files and return their list: part, name, docs, ids, base (ids in all parts before).
 
-    Null texts count as empty and have the end id alone; null ids come first. Rows in ascending order of the id.
+    Null texts count as empty and have the end id alone; null ids come first. Rows in ascending order of the id. An empty
+    table makes no files. Columns other than the id and the text are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns({"mark": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
-    dealt = rows.repartitionByRange(files or slots(spark), "id", "mark", "place").sortWithinPartitions("id", "mark", "place")
+    if files is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        files = max(slots(spark), -(-size // FILE_BYTES))
+    dealt = rows.repartitionByRange(files, "id", "mark", "place").sortWithinPartitions("id", "mark", "place")
     id_type = pa.int64() if docs.schema[id_col].dataType.simpleString() == "bigint" else pa.string()
     listed = stage(dealt.select(F.col("id").cast("bigint" if id_type == pa.int64() else "string"), "text").mapInArrow(_write(folder, path, length, id_type), "part long, name string, docs long, ids long"), "files")
     # one small row for each file, not for each document
@@ -218,7 +231,8 @@ def _read(folder: str, id_type: pa.DataType):
 
 def read_documents(listed: DataFrame, folder: str, id_type: pa.DataType) -> DataFrame:
     """Read the files back: one row for each document, with its place among all ids and the crc32 of its ids."""
-    rows = listed.select("name", "base").repartition(slots(listed.sparkSession), "name")
+    rows = listed.select("name", "base")
+    rows = rows.repartition(max(slots(listed.sparkSession), rows.count()), "name")
     return rows.mapInArrow(_read(folder, id_type), f"doc {'bigint' if id_type == pa.int64() else 'string'}, start long, n long, crc long")
 
 

@@ -7,13 +7,14 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrata.llm import mixing, near_vectors, queries, secrets, sharding, topk
-from lodestrata.llm.common import word_count, work_path
+from lodestrata.llm.common import work_path
 from lodestrata.llm.hnsw import Graph
 
 
@@ -28,10 +29,10 @@ def test_oracles(spark, tables, name):
     assert got.sort_values(keys).astype(object).values.tolist() == want.sort_values(keys).astype(object).values.tolist()
 
 
-def test_word_count(spark):
+def test_word_count():
     texts = [None, "", " ", "a", " a", "a ", "a b", "\n a\x0bb \t", "a b", "a\x1cb c", "x  " * 9]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select(word_count(F.col("t")))
-    assert [r[0] for r in df.collect()] == [len((t or "").encode().split()) for t in texts]
+    for part in (pa.array(texts), pa.array(["zz z", *texts, None]).slice(1), pa.array([""]), pa.array([], pa.string())):
+        assert mixing.count_words(part).tolist() == [len((t or "").encode().split()) for t in part.to_pylist()]
 
 
 # Secrets
