@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import getpass
 import os
 import sys
+import threading
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from . import __version__
@@ -24,10 +28,6 @@ def human_bytes(n: int) -> str:
     return f"{n / 1024**power:.1f} {'KMGTPE'[power - 1]}iB"
 
 
-def plural(n: int, noun: str) -> str:
-    return f"{n} {noun}{'' if n == 1 else 's'}"
-
-
 def passphrase(file: str | None, confirm: bool = False) -> bytes:
     """From the environment, else the file (its line end is cut), else asked for. An empty one is refused."""
     if os.environ.get(VARIABLE):
@@ -81,57 +81,78 @@ def _session(args: argparse.Namespace) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _table(facts: dict) -> str:
+    """A line for each fact: its name, then its value; one more line for each entry of a list."""
+    width = max(map(len, facts))
+    out = []
+    for name, value in facts.items():
+        first, *more = value if isinstance(value, list) and value else ["-"] if isinstance(value, list) else [value]
+        out.append(f"{name:<{width}}  {first}")
+        out += [f"{'':<{width}}  {x}" for x in more]
+    return "\n".join(out)
+
+
+class _Shown:
+    """Writes a running operation's counters to a terminal, a line that is written over."""
+
+    def __init__(self, spark: SparkSession, progress: Progress, to) -> None:
+        self.spark, self.progress, self.to = spark, progress, to
+        self.done = threading.Event()
+        self.thread = threading.Thread(target=self._run, daemon=True)
+
+    def _run(self) -> None:
+        while not self.done.wait(0.5):
+            done, tasks = self.progress.tasks(self.spark)
+            counts = " ".join(f"{k}={v}" for k, v in self.progress.snapshot().items())
+            print(f"\r{done}/{tasks} tasks {counts}\x1b[K", end="", file=self.to, flush=True)
+
+    def __enter__(self) -> _Shown:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.done.set()
+        self.thread.join()
+        print("\r\x1b[K", end="", file=self.to, flush=True)
+
+
+def _facts(args: argparse.Namespace, vault: Vault, progress: Progress) -> dict:
+    """What the command did, as names and values."""
+    if args.command == "backup":
+        r = vault.backup(args.source, args.compress, progress=progress)
+        facts = {"snapshot": r.snapshot_id, "files_stored": r.files - r.reused, "files_reused": r.reused, "entries_left_out": r.skipped, "chunks_cut": r.total_chunks, "chunks_added": r.new_chunks, "bytes_read": r.total_bytes, "bytes_added": r.stored_bytes, "shrunk_by": f"{max(0.0, r.reduction_ratio):.1%}"}
+        return facts | {"cipher": "AES-256-GCM" if vault.keys else "none"}
+    if args.command == "restore":
+        done = vault.restore(args.snapshot, args.target)
+        return {"files_written": done["files"], "bytes_written": done["bytes"]}
+    if args.command == "stats":
+        s = vault.stats()
+        sizes = {"logical": human_bytes(s.logical_bytes), "stored": human_bytes(s.stored_bytes), "saved": f"{human_bytes(max(0, s.saved_bytes))}, {max(0.0, s.reduction_ratio):.1%}"}
+        return {"location": args.vault, "snapshot_count": s.snapshots, "chunk_count": s.unique_chunks, "reference_count": s.chunk_refs, **sizes}
+    r = vault.verify(args.snapshot, args.quick, progress)
+    return {"method": "names only" if args.quick else "all bytes", "chunks_seen": r.chunks, "snapshots_seen": r.snapshots, "sound": "yes" if r.ok else "no", "corrupt": r.corrupt, "missing": r.missing, "snapshots_hurt": r.broken}
+
+
 def main(argv: list[str] | None = None, out=None) -> int:
+    """0 if all went well, 1 if not or if a check found damage, 130 if it was interrupted."""
     args, out = _parser().parse_args(argv), out or sys.stdout
-    say = lambda line: print(line, file=out)
     spark = _session(args)
     try:
         sealed = Folder(spark, args.vault).exists() and is_encrypted(spark, args.vault)
         new = args.command == "backup" and args.encrypt and not sealed
         word = passphrase(args.passphrase_file, confirm=new) if sealed or new else None
         vault = Vault.open(spark, args.vault, word, create=args.command == "backup")
-        if args.command == "backup":
-            r = vault.backup(args.source, args.compress, progress=None if args.no_progress else Progress())
-            say(f"snapshot {r.snapshot_id}")
-            say(f"  files:   {r.files}")
-            if r.reused:
-                say(f"  reused:  {r.reused} unchanged from the previous snapshot")
-            say(f"  chunks:  {r.total_chunks} total, {r.new_chunks} new")
-            say(f"  data:    {human_bytes(r.total_bytes)} scanned, {human_bytes(r.stored_bytes)} stored ({max(0.0, r.reduction_ratio) * 100:.0f}% smaller)")
-            if vault.keys:
-                say("  encrypted: yes (AES-256-GCM)")
-            if r.skipped:
-                say(f"  skipped: {r.skipped} non-regular entries (symlinks, devices, etc.)")
-        elif args.command == "restore":
-            done = vault.restore(args.snapshot, args.target)
-            say(f"restored {plural(done['files'], 'file')} ({human_bytes(done['bytes'])})")
-        elif args.command == "stats":
-            s = vault.stats()
-            say(f"vault {args.vault}")
-            say(f"  snapshots:     {s.snapshots}")
-            say(f"  unique chunks: {s.unique_chunks}")
-            say(f"  logical size:  {human_bytes(s.logical_bytes)} across {s.chunk_refs} chunk references")
-            say(f"  stored size:   {human_bytes(s.stored_bytes)}")
-            say(f"  saved:         {human_bytes(max(0, s.saved_bytes))} ({max(0.0, s.reduction_ratio) * 100:.0f}% smaller after dedup + compression)")
-        else:
-            r = vault.verify(args.snapshot, args.quick)
-            say(f"checked {plural(r.chunks, 'chunk')} across {plural(r.snapshots, 'snapshot')} ({'quick' if args.quick else 'deep'})")
-            if r.ok:
-                say("  no problems found")
-                return 0
-            for name, ids in (("corrupt", r.corrupt), ("missing", r.missing)):
-                if ids:
-                    say(f"  {name} chunks ({len(ids)}):")
-                    for x in ids:
-                        say(f"    {x}")
-            if r.broken:
-                say(f"  affected snapshots: {', '.join(r.broken)}")
-            print(f"integrity check failed: {len(r.corrupt)} corrupt, {len(r.missing)} missing", file=sys.stderr)
-            return 1
-    except (ValueError, OSError, RuntimeError) as failed:
-        print(f"error: {failed}", file=sys.stderr)
+        progress = Progress()
+        with contextlib.nullcontext() if args.no_progress or not sys.stderr.isatty() else _Shown(spark, progress, sys.stderr):
+            facts = _facts(args, vault, progress)
+        print(_table(facts), file=out)
+        return int(facts.get("sound") == "no")
+    except KeyboardInterrupt:  # the session's own handler has cancelled its jobs by now
+        print("interrupted", file=sys.stderr)
+        return 130
+    except (ValueError, OSError, RuntimeError, PySparkException, Py4JError) as failed:
+        print(f"failed: {str(failed).splitlines()[0] if str(failed) else type(failed).__name__}", file=sys.stderr)
         return 1
-    return 0
 
 
 if __name__ == "__main__":

@@ -15,7 +15,7 @@ class UnsafePath(ValueError):
 def safe_join(target: str, relative: str) -> str:
     clean = posixpath.normpath(relative or ".")
     if clean == ".." or clean.startswith(("../", "/")):
-        raise UnsafePath(f"unsafe path in snapshot: {relative!r}")
+        raise UnsafePath(f"{relative!r} would lie outside the target folder")
     return posixpath.normpath(posixpath.join(target, clean))
 
 

@@ -10,7 +10,13 @@ what must hold of any cut: reassembly, bounds, stability.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +24,11 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, display, ids, paths, seal
 from ..operators import dedup, gear, verify
-from ..operators.chunking import chunked
-from ..sources.tree import size_prescan, skipped
+from ..operators.chunking import chunked, chunked_files
+from ..sources.object_store import NotFound
+from ..sources.tree import local_path, size_prescan, skipped
+from ..sources.tree import scan_tree as read_tree
+from .vault import Vault, is_encrypted
 
 SMALL = 1024
 #: A key for the tests of keyed names; it protects nothing.
@@ -74,19 +83,160 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TURNS = "SELECT conv_id, 'conv/' || CAST(conv_id AS VARCHAR) AS path, CAST(turn AS INTEGER) AS seq, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, sha256(coalesce(text, '')) AS chunk_id FROM conversations"
 
 
-# Sources
+# Sources: the documents as files in a shared folder, and a vault that holds two runs over them
 
+RUNS = ("20240101T000000Z-00000001", "20240101T000001Z-00000002")
+_built: dict[tuple[str, str, str], str] = {}
 
-@query(f"""
-WITH t AS ({_TREE}), f AS (SELECT path, 'file' AS kind, size FROM t),
-d AS (SELECT DISTINCT split_part(path, '/', 1) AS path FROM t UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM t)
-SELECT path, kind, size FROM f UNION ALL SELECT path, 'dir', CAST(0 AS BIGINT) FROM d""")
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable[[str], object]) -> str:
+    """A local folder that all executors mount, filled by ``make`` once for each session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _built:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-")
+        path = f"{local_path(base)}/catalogue/{what}-{uuid.uuid4().hex}"
+        os.makedirs(path)
+        make(path)
+        _built[key] = path
+    return _built[key]
+
+
+def _tree_folder(spark: SparkSession, sf_dir: str) -> str:
+    def make(root: str) -> None:
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, content, when in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    name = os.path.join(root, path)
+                    os.makedirs(os.path.dirname(name), exist_ok=True)
+                    with open(name, "wb") as f:
+                        f.write(content)
+                    os.utime(name, ns=(when, when))
+                yield batch.select([0])
+
+        tree(spark, sf_dir).select("path", "content", "mtime_ns").mapInArrow(write, "path string").count()
+
+    return _once(spark, sf_dir, "tree", make)
+
+
+def _vault(spark: SparkSession, sf_dir: str, passphrase: str | None = None) -> Vault:
+    """Two runs over the tree, the second of which finds nothing changed; the encrypted vault has the first alone."""
+    root = _tree_folder(spark, sf_dir)
+
+    def make(path: str) -> None:
+        vault = Vault.open(spark, path, passphrase, create=True)
+        for name in RUNS[: 1 if passphrase else 2]:
+            done = vault.backup(root, "none", snapshot_id=name)
+            vault.folder.put(f"results/{name}.json", json.dumps(asdict(done)).encode())
+
+    return Vault.open(spark, _once(spark, sf_dir, "sealed" if passphrase else "vault", make), passphrase)
+
+
+def _files_with_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Files below a folder with the chunk that each is; empty ones have none."""
+    found = read_tree(spark, root).where("kind = 'file'").select("path", "size")
+    return found.join(chunked_files(found, "file://" + root).select("path", "chunk_id"), "path", "left")
+
+
+_TWO = "(VALUES " + ", ".join(f"('{x}')" for x in RUNS) + ") AS s(snapshot_id)"
+_FOLDERS = f"SELECT DISTINCT split_part(path, '/', 1) AS path FROM ({_TREE}) UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM ({_TREE})"
+_HELD = f"SELECT DISTINCT chunk_id, size FROM ({_IDS}) WHERE size > 0"
+
+
+@query(f"SELECT path, 'file' AS kind, size, mtime_ns FROM ({_TREE}) UNION ALL SELECT path, 'dir', CAST(0 AS BIGINT), CAST(-1 AS BIGINT) FROM ({_FOLDERS})")
 def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files, and the folders that their paths name."""
-    t = tree(spark, sf_dir)
-    parts = F.split("path", "/")
-    folders = t.select(F.explode(F.array(parts[0], F.concat(parts[0], F.lit("/"), parts[1]))).alias("path")).distinct()
-    return t.select("path", F.lit("file").alias("kind"), "size").union(folders.select("path", F.lit("dir"), F.lit(0).cast("long")))
+    """The file tree as the data source reads it."""
+    return read_tree(spark, _tree_folder(spark, sf_dir)).select("path", "kind", "size", F.when(F.col("kind") == "file", F.col("mtime_ns")).otherwise(-1).alias("mtime_ns"))
+
+
+@query(f"SELECT path, size, CASE WHEN size > 0 THEN chunk_id END AS chunk_id FROM ({_IDS})")
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files read and named where they lie."""
+    return _files_with_ids(spark, _tree_folder(spark, sf_dir))
+
+
+@query(f"SELECT snapshot_id, files, CASE WHEN snapshot_id = '{RUNS[0]}' THEN 0 ELSE files END AS reused, CASE WHEN snapshot_id = '{RUNS[0]}' THEN refs ELSE 0 END AS total_chunks, CASE WHEN snapshot_id = '{RUNS[0]}' THEN unique_chunks ELSE 0 END AS new_chunks, CASE WHEN snapshot_id = '{RUNS[0]}' THEN bytes ELSE 0 END AS total_bytes, CASE WHEN snapshot_id = '{RUNS[0]}' THEN stored ELSE 0 END AS stored_bytes, CAST(0 AS BIGINT) AS skipped FROM {_TWO}, (SELECT count(*) AS files, count(*) FILTER (size > 0) AS refs, CAST(sum(size) AS BIGINT) AS bytes, (SELECT count(*) FROM ({_HELD})) AS unique_chunks, (SELECT CAST(sum(size + 1) AS BIGINT) FROM ({_HELD})) AS stored FROM ({_IDS}))")
+def vault_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a full run and one over unchanged files say that they did."""
+    vault = _vault(spark, sf_dir)
+    rows = [json.loads(vault.folder.get(f"results/{x}.json")) for x in RUNS]
+    return spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} {'string' if k == 'snapshot_id' else 'long'}" for k in rows[0]))
+
+
+@query(f"SELECT 'chunks/' || substr(chunk_id, 1, 2) || '/' || chunk_id AS key, size, size + 1 AS stored FROM ({_HELD})")
+def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that the vault holds, stored plain after their tag byte."""
+    return _vault(spark, sf_dir).stored().select(ids.chunk_key(F.col("chunk_id")).alias("key"), F.col("raw_size").alias("size"), F.col("stored_size").alias("stored"))
+
+
+@query(f"SELECT min(chunk_id) AS chunk_id, min(chunk_id) AS content_sha256, true AS other_is_absent FROM ({_HELD})")
+def get_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vault = _vault(spark, sf_dir)
+    name = vault.stored().agg(F.min("chunk_id")).first()[0]
+    try:
+        vault.get_chunk("0" * 64)
+        absent = False
+    except NotFound:
+        absent = True
+    return spark.createDataFrame([(name, hashlib.sha256(vault.get_chunk(name)).hexdigest(), absent)], "chunk_id string, content_sha256 string, other_is_absent boolean")
+
+
+@query(f"SELECT snapshot_id, path, size, mtime_ns, CASE WHEN size > 0 THEN chunk_id ELSE '' END AS chunks FROM {_TWO}, ({_IDS})")
+def load_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of the snapshots that the vault lists and loads."""
+    vault = _vault(spark, sf_dir)
+    loaded = spark.createDataFrame([(vault.load_snapshot(x)["id"],) for x in vault.list_snapshots()], "snapshot_id string")
+    return vault.files().join(loaded, "snapshot_id").select("snapshot_id", "path", "size", "mtime_ns", F.array_join("chunks", ",").alias("chunks"))
+
+
+@query(f"SELECT snapshot_id, path FROM {_TWO}, ({_FOLDERS})")
+def snapshot_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vault(spark, sf_dir).dirs().select("snapshot_id", "path")
+
+
+@query(f"SELECT snapshot_id FROM {_TWO}")
+def list_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vault(spark, sf_dir).snapshots().select("snapshot_id")
+
+
+@query(f"SELECT count(*) AS snapshots, any_value(c) AS unique_chunks, any_value(st) AS stored_bytes, CAST(sum(b) AS BIGINT) AS logical_bytes, CAST(sum(r) AS BIGINT) AS chunk_refs FROM {_TWO}, (SELECT (SELECT count(*) FROM ({_HELD})) AS c, (SELECT CAST(sum(size + 1) AS BIGINT) FROM ({_HELD})) AS st, sum(size) AS b, count(*) FILTER (size > 0) AS r FROM ({_IDS}))")
+def vault_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _vault(spark, sf_dir).stats()
+    return spark.createDataFrame([tuple(asdict(s).values())], ", ".join(f"{k} long" for k in asdict(s)))
+
+
+@query(f"SELECT quick, count(*) AS chunks, CAST(2 AS BIGINT) AS snapshots, true AS ok FROM ({_HELD}), (VALUES (true), (false)) AS q(quick) GROUP BY 1")
+def vault_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vault = _vault(spark, sf_dir)
+    rows = [(q, r.chunks, r.snapshots, r.ok) for q in (True, False) for r in [vault.verify(quick=q)]]
+    return spark.createDataFrame(rows, "quick boolean, chunks long, snapshots long, ok boolean")
+
+
+@query(f"SELECT path, size, CASE WHEN size > 0 THEN chunk_id END AS chunk_id FROM ({_IDS})")
+def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the vault writes back, as they are read from the folder."""
+    vault = _vault(spark, sf_dir)
+    return _files_with_ids(spark, _once(spark, sf_dir, "restored", lambda path: vault.restore(RUNS[1], path)))
+
+
+@query(f"SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM ({_IDS})")
+def restore_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vault, done = _vault(spark, sf_dir), {}
+    _once(spark, sf_dir, "restored-again", lambda path: done.update(vault.restore(RUNS[0], path), path=path))
+    done = done or vault.restore(RUNS[0], _built[spark.sparkContext.applicationId, sf_dir, "restored-again"])
+    return spark.createDataFrame([(done["files"], done["bytes"])], "files long, bytes long")
+
+
+@query(f"SELECT path, CASE WHEN size > 0 THEN chunk_id END AS content_sha256, true AS sealed, true AS other_word_refused FROM ({_IDS})")
+def encrypted_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an encrypted vault gives back under the right passphrase alone."""
+    vault = _vault(spark, sf_dir, "a word")
+    try:
+        Vault.open(spark, vault.folder.root, "another")
+        refused = False
+    except seal.WrongPassphrase:
+        refused = True
+    rows = vault.contents(RUNS[0]).select("path", F.sha2("data", 256).alias("content_sha256"))
+    return rows.withColumns({"sealed": F.lit(is_encrypted(spark, vault.folder.root)), "other_word_refused": F.lit(refused)})
 
 
 @query(f"SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total_bytes FROM ({_TREE})")
@@ -100,12 +250,6 @@ def skip_non_regular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skipped(tree(spark, sf_dir).withColumn("kind", F.when(F.col("doc_id") % 17 == 0, "other").otherwise("file")))
 
 
-@query(f"SELECT DISTINCT 'chunks/' || substr(chunk_id, 1, 2) || '/' || chunk_id AS key, size FROM ({_IDS}) WHERE size > 0")
-def list_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys and sizes of a vault's chunks, stored plain without their tag byte."""
-    return chunk_rows(spark, sf_dir).select(ids.chunk_key(F.col("chunk_id")).alias("key"), "size").distinct()
-
-
 _SNAPS = "SELECT doc_id, strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 3600), '%Y%m%dT%H%M%SZ') || '-' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 8) AS snapshot_id, source FROM documents"
 
 
@@ -117,7 +261,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT snapshot_id, strftime(strptime(substr(snapshot_id, 1, 16), '%Y%m%dT%H%M%SZ'), '%Y-%m-%d %H:%M:%S') AS created FROM ({_SNAPS}) WHERE doc_id % 5 <> 0")
-def list_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots among keys of which some are nested deeper or have another ending."""
     s = _snapshots(spark, sf_dir)
     key = F.when(F.col("doc_id") % 5 == 0, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("snapshots/old/"), "snapshot_id", F.lit(".json"))).otherwise(F.concat(F.lit("snapshots/"), "snapshot_id", F.lit(".json.tmp")))).otherwise(ids.snapshot_key(F.col("snapshot_id")))
@@ -126,7 +270,7 @@ def list_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT snapshot_id, source, doc_id % 9 <> 4 AS bound, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS n_chunks FROM ({_SNAPS})")
-def load_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def manifest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests read from JSON, with null chunk lists as empty, and whether the id inside is the one asked for."""
     schema = "id string, source string, dirs array<struct<path:string,mode:bigint>>, files array<struct<path:string,size:bigint,mode:bigint,mtime:bigint,chunks:array<string>>>"
     s = _snapshots(spark, sf_dir)
@@ -448,7 +592,7 @@ def snapshot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT path, sha256(string_agg(text, '' ORDER BY seq)) AS content_sha256, CAST(sum(size) AS BIGINT) AS size FROM (SELECT 'conv/' || CAST(conv_id AS VARCHAR) AS path, turn AS seq, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS size FROM conversations) GROUP BY 1")
-def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files put together from a store that holds each chunk once, zstd-coded, with every chunk's name checked."""
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     data = F.coalesce("text", F.lit("")).cast("binary")
@@ -462,11 +606,6 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("path", F.sha2(whole, 256).alias("content_sha256"), F.octet_length(whole).cast("long").alias("size"))
 
 
-@query("SELECT count(DISTINCT conv_id) AS files, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS bytes FROM conversations")
-def restore_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return restore_roundtrip(spark, sf_dir).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
-
-
 @query("""
 SELECT path, safe FROM (VALUES ('../evil', false), ('../../etc/passwd', false), ('/abs/path', false), ('sub/ok.txt', true), ('a/../b', true),
  ('a/../..', false), ('..', false), ('.', true), ('a/./b//c', true), ('..hidden', true), ('a/b/../../../c', false)) AS t(path, safe)""")

@@ -17,7 +17,9 @@ import json
 import os
 import secrets
 import stat
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -48,6 +50,10 @@ class IntegrityError(RuntimeError):
     """Stored data is not what its name or its manifest says."""
 
 
+class Cancelled(RuntimeError):
+    """The run was cancelled; nothing was published."""
+
+
 @dataclass(frozen=True)
 class BackupResult:
     snapshot_id: str
@@ -110,10 +116,19 @@ class Progress:
         """Totals of the parts that have finished."""
         out: dict[str, int] = {}
         for seen in self._seen:
-            for k, v in (seen.get if seen._jo is not None else {}).items():
+            if seen._jo is None or not seen._jo.future().isCompleted():
+                continue  # get would wait for it
+            for k, v in seen.get.items():
                 out[k] = out.get(k, 0) + (v or 0)
         return out
 
+    @staticmethod
+    def tasks(spark: SparkSession) -> tuple[int, int]:
+        """Tasks done, and tasks, of the stages that run now."""
+        tracker = spark.sparkContext.statusTracker()
+        stages = [s for s in map(tracker.getStageInfo, tracker.getActiveStageIds()) if s]
+        return sum(s.numCompletedTasks for s in stages), sum(s.numTasks for s in stages)
+
 
 def new_snapshot_id(now: datetime | None = None) -> str:
     return f"{(now or datetime.now(UTC)).strftime('%Y%m%dT%H%M%SZ')}-{secrets.token_hex(4)}"
@@ -129,12 +144,39 @@ class Vault:
 
     def __init__(self, spark: SparkSession, folder: Folder, keys: seal.Keys | None) -> None:
         self.spark, self.folder, self.keys = spark, folder, keys
+        self._cancelled, self._tag = threading.Event(), f"vault-{secrets.token_hex(8)}"
+
+    def cancel(self) -> None:
+        """Stop what this object runs in another thread: its Spark jobs end, and a backup is not published."""
+        self._cancelled.set()
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
+
+    @contextmanager
+    def _running(self) -> Iterator[None]:
+        """Jobs started inside can be cancelled; that they failed because of it is told as such."""
+        self._cancelled.clear()
+        self.spark.sparkContext.addJobTag(self._tag)
+        try:
+            yield
+            self._go_on()
+        except Exception as failed:
+            if self._cancelled.is_set():
+                raise Cancelled("cancelled") from failed
+            raise
+        finally:
+            self.spark.sparkContext.removeJobTag(self._tag)
+
+    def _go_on(self) -> None:
+        if self._cancelled.is_set():
+            raise Cancelled("cancelled")
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, passphrase: bytes | str | None = None, create: bool = False) -> Vault:
         """Open a vault. A passphrase is needed exactly for encrypted vaults; a new vault with one is encrypted."""
         passphrase = passphrase.encode() if isinstance(passphrase, str) else passphrase
         folder = Folder(spark, root)
+        if not folder.bucket_exists():
+            raise NotFound(f"no bucket for {folder.root}")
         if not folder.exists() and not create:
             raise NotFound(folder.root)
         folder.make()
@@ -153,18 +195,39 @@ class Vault:
 
     # Tables
 
-    def _table(self, name: str, schema: str) -> DataFrame:
+    def _table(self, name: str, schema: str, readable: bool = False) -> DataFrame:
         if not self.folder.exists(name):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.folder.at(name))
-
-    def chunks(self) -> DataFrame:
-        """Stored chunks, one row for each id. Two runs at a time may both have written one; the copies are alike."""
-        return self._table("chunks", CHUNKS)
-
-    def stored(self) -> DataFrame:
+        return self.spark.read.schema(schema).option("ignoreCorruptFiles", readable).parquet(self.folder.at(name))
+
+    def chunks(self, readable: bool = False) -> DataFrame:
+        """Stored chunks. Two runs at a time may both have written one; the copies are alike. ``readable``: leave out what
+        lies in files that can't be read, instead of failing."""
+        return self._table("chunks", CHUNKS, readable)
+
+    def damaged(self) -> DataFrame:
+        """Files of chunks of which no row can be read: path, shard."""
+        if not self.folder.exists("chunks"):
+            return self.spark.createDataFrame([], "path string, shard string")
+        name = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+        there = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(self.folder.at("chunks")).select(name(F.col("path")).alias("path"))
+        read = self.chunks(readable=True).select("chunk_id", name(F.col("_metadata.file_path")).alias("path")).groupBy("path").agg(F.count("chunk_id").alias("n"))
+        return there.join(read, "path", "left_anti").select("path", F.regexp_extract("path", "/shard=([^/]*)/", 1).alias("shard"))
+
+    def get_chunk(self, chunk: str) -> bytes:
+        """Checked plain bytes of one chunk; only its shard is read."""
+        rows = self.chunks().where((F.col("shard") == chunk[:SHARD_WIDTH]) & (F.col("chunk_id") == chunk))
+        chunks, plain, name = self._plain(rows)
+        found = chunks.select(F.when(name(plain) == F.col("chunk_id"), plain).alias("data")).collect()
+        if not found:
+            raise NotFound(f"no chunk {chunk}")
+        if found[0]["data"] is None:
+            raise IntegrityError(f"chunk {chunk} does not hold what its name says")
+        return bytes(found[0]["data"])
+
+    def stored(self, readable: bool = False) -> DataFrame:
         """Ids and sizes of stored chunks, without reading their bytes."""
-        return self.chunks().groupBy("chunk_id").agg(F.min("raw_size").alias("raw_size"), F.min("stored_size").alias("stored_size"))
+        return self.chunks(readable).groupBy("chunk_id").agg(F.min("raw_size").alias("raw_size"), F.min("stored_size").alias("stored_size"))
 
     def snapshots(self) -> DataFrame:
         """Published snapshots, checked against the names that they stand under."""
@@ -182,7 +245,7 @@ class Vault:
         if self.keys:
             held = self._unsealed(held)
         if held.get("id") != snapshot_id:
-            raise IntegrityError(f"snapshot {snapshot_id} has a mismatched id {held.get('id')!r}")
+            raise IntegrityError(f"the object of snapshot {snapshot_id} names itself {held.get('id')!r}")
         return held
 
     def _sealed(self, held: dict) -> dict:
@@ -225,6 +288,10 @@ class Vault:
 
     def backup(self, source: str, codec: str = "zstd", average: int = 0, snapshot_id: str | None = None, progress: Progress | None = None) -> BackupResult:
         """Store a directory tree as a new snapshot. Any unreadable entry fails the run, and nothing is published."""
+        with self._running():
+            return self._backup_folder(source, codec, average, snapshot_id, progress)
+
+    def _backup_folder(self, source: str, codec: str, average: int, snapshot_id: str | None, progress: Progress | None) -> BackupResult:
         tree = scan_tree(self.spark, source)
         root = "file://" + os.path.abspath(local_path(source))
         return self._backup(tree, source, codec, average, snapshot_id, progress, lambda files: chunked_files(files, root, average, self._name_key()), lambda refs: read_ranges(refs, root, self._name_key()))
@@ -240,7 +307,8 @@ class Vault:
             joined = refs.join(files.select("path", "content"), "path")
             return joined.select("chunk_id", F.col("size").alias("raw_size"), F.substring("content", (F.col("offset") + 1).cast("int"), F.col("size").cast("int")).alias("data"))
 
-        return self._backup(tree, source, codec, average, snapshot_id, progress, cut, read)
+        with self._running():
+            return self._backup(tree, source, codec, average, snapshot_id, progress, cut, read)
 
     def _name_key(self) -> bytes | None:
         return self.keys.name if self.keys else None
@@ -251,8 +319,17 @@ class Vault:
         work = self.folder.at(f"staging/{snapshot_id}")
 
         def staged(df: DataFrame, name: str) -> DataFrame:
-            df.write.parquet(f"{work}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+            """Written once and read back; in an encrypted vault rows are sealed, so that a run that is killed leaves no
+            names behind."""
+            self._go_on()
+            if not self.keys:
+                df.write.parquet(f"{work}/{name}")
+                return self.spark.read.schema(df.schema).parquet(f"{work}/{name}")
+            rows = seal.with_keys(df, self.keys).select(seal.seal(F.to_json(F.struct(*df.columns)).cast("binary"), F.col("seal_key")).alias("sealed"))
+            rows.write.parquet(f"{work}/{name}")
+            rows = seal.with_keys(self.spark.read.schema("sealed binary").parquet(f"{work}/{name}"), self.keys)
+            plain = seal.open_sealed(F.col("sealed"), F.col("seal_key")).cast("string")
+            return rows.select(F.from_json(plain, df.schema).alias("row")).select("row.*")
 
         try:
             tree = staged(tree, "tree")  # metadata only; one walk, whose times decide what is reused
@@ -285,6 +362,7 @@ class Vault:
             chunked_ = refs.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
             left_out = tree.where("kind = 'other'").count()
             held = {"id": snapshot_id, "source": source}
+            self._go_on()
             self.folder.put(f"snapshots/{snapshot_id}.json", json.dumps(self._sealed(held) if self.keys else held, indent=2).encode())
             new = written.get
             return BackupResult(snapshot_id, counts["files"], counts["reused"], left_out, chunked_["n"], new["n"] or 0, chunked_["b"], new["b"] or 0)
@@ -309,7 +387,10 @@ class Vault:
         A chunk that is missing, can't be opened or has other bytes than its name says fails the query.
         """
         files = self.files().where(F.col("snapshot_id") == snapshot_id).select("path", "mode", F.posexplode_outer("chunks").alias("seq", "chunk_id"))
-        chunks, plain, name = self._plain(self.chunks())
+        stored = self.chunks().select("*", F.col("_metadata.file_path").alias("file"))
+        twice = stored.groupBy("chunk_id").agg(F.count("*").alias("n"), F.min("file").alias("first")).where("n > 1").select("chunk_id", "first")
+        stored = stored.join(twice, "chunk_id", "left").where("first is null or first = file")
+        chunks, plain, name = self._plain(stored)
         held = chunks.select("chunk_id", plain.alias("data"), *(["inner_pad", "outer_pad"] if self.keys else []))
         held = held.select("chunk_id", F.when(name(F.col("data")) == F.col("chunk_id"), F.col("data")).alias("data"))
         wrong = F.raise_error(F.concat(F.lit("integrity check failed for chunk "), F.col("chunk_id"))).cast("binary")
@@ -317,14 +398,19 @@ class Vault:
         return joined.select("path", "mode", "seq", F.when(F.col("chunk_id").isNull(), F.lit(None)).when(F.col("data").isNull(), wrong).otherwise(F.col("data")).alias("data"))
 
     def restore(self, snapshot_id: str, target: str) -> dict[str, int]:
-        """Write a snapshot below a local folder: files, bytes. Folder modes are set last, deepest first."""
+        """Write a snapshot below a folder that driver and executors all mount under one path: files, bytes. Folder modes
+        are set last, deepest first."""
+        with self._running():
+            return self._restore(snapshot_id, target)
+
+    def _restore(self, snapshot_id: str, target: str) -> dict[str, int]:
         self.load_snapshot(snapshot_id)
         target = os.path.abspath(local_path(target))
         dirs = self.dirs().where(F.col("snapshot_id") == snapshot_id).select("path", "mode")
         files = self.files().where(F.col("snapshot_id") == snapshot_id).select("path")
         bad = files.union(dirs.select("path")).where(~is_safe(F.col("path"))).first()
         if bad:
-            raise UnsafePath(f"unsafe path in snapshot: {bad['path']!r}")
+            raise UnsafePath(f"{bad['path']!r} would lie outside the target folder")
         os.makedirs(target, exist_ok=True)
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,22 +457,37 @@ class Vault:
 
     # Checking
 
-    def verify(self, snapshot_id: str | None = None, quick: bool = False) -> Report:
-        """Check one snapshot's chunks, or every stored chunk and every snapshot; ``quick`` reads no chunk's bytes."""
+    def verify(self, snapshot_id: str | None = None, quick: bool = False, progress: Progress | None = None) -> Report:
+        """Check one snapshot's chunks, or every stored chunk and every snapshot; ``quick`` reads no chunk's bytes.
+
+        Damage is reported, it does not end the check: a chunk that can't be read or opened, or has other bytes than its
+        name says, is corrupt, and so is a referenced one that is not found while a file of its shard can't be read. Any
+        other referenced chunk that is not found is missing.
+        """
+        with self._running():
+            return self._verify(snapshot_id, quick, progress)
+
+    def _verify(self, snapshot_id: str | None, quick: bool, progress: Progress | None) -> Report:
         if snapshot_id is not None:
             self.load_snapshot(snapshot_id)
         refs = self.references(snapshot_id)
-        stored = self.stored()
-        lost = verify.missing(refs, stored)
-        checked, ids = self.chunks(), stored.select("chunk_id")
+        stored = self.stored(readable=True)
+        unread = self.damaged().select("shard").distinct()
+        lost = verify.missing(refs, stored).withColumn("shard", shard(F.col("chunk_id"), SHARD_WIDTH))
+        bad = lost.join(unread, "shard", "left_semi").select("chunk_id")
+        lost = lost.join(unread, "shard", "left_anti").select("chunk_id")
+        checked, ids = self.chunks(readable=True), stored.select("chunk_id")
         if snapshot_id is not None:
             checked, ids = (x.join(refs.select("chunk_id"), "chunk_id", "left_semi") for x in (checked, ids))
-        if quick:
-            bad = self.spark.createDataFrame([], "chunk_id string")
-        else:
+        if not quick:
+            if progress:
+                checked = progress.watch(checked, chunks_checked=F.count("*"), bytes_checked=F.sum("stored_size"))
             chunks, plain, name = self._plain(checked)
-            bad = verify.corrupt(chunks, plain, name).distinct()
-        bad, lost = bad.cache(), lost.cache()
+            # one reading of the bytes: ids whose every copy opens to what the id says, and all others
+            good = chunks.select("chunk_id", F.coalesce(name(plain) == F.col("chunk_id"), F.lit(False)).alias("fine"))
+            good = good.groupBy("chunk_id").agg(F.min("fine").alias("fine"))
+            bad = bad.union(ids.join(good.where("fine"), "chunk_id", "left_anti"))
+        bad, lost = bad.distinct().cache(), lost.cache()
         try:
             hurt = verify.broken(refs, bad.union(lost))
             row = verify.report(ids.count(), len(self.list_snapshots()) if snapshot_id is None else 1, bad, lost, hurt).first()

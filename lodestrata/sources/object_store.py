@@ -49,6 +49,11 @@ class Folder:
     def exists(self, key: str = "") -> bool:
         return self._fs.exists(self._path(self.at(key) if key else self.root))
 
+    def bucket_exists(self) -> bool:
+        """Whether the bucket of an s3 location is there; a vault never makes one. True for other file systems."""
+        url = urlparse(self.root)
+        return url.scheme != "s3a" or self._fs.exists(self._path(f"s3a://{url.netloc}/"))
+
     def make(self, key: str = "") -> None:
         self._fs.mkdirs(self._path(self.at(key) if key else self.root))
 

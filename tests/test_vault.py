@@ -6,7 +6,7 @@ import pytest
 
 from lodestrata.functions.paths import UnsafePath
 from lodestrata.functions.seal import NotEncrypted, PassphraseRequired, WrongPassphrase
-from lodestrata.plans.vault import IntegrityError, Progress, Vault, is_encrypted
+from lodestrata.plans.vault import Cancelled, IntegrityError, Progress, Vault, is_encrypted
 from lodestrata.sources.object_store import NotFound
 from lodestrata.sources.tree import scan_tree
 
@@ -164,11 +164,11 @@ def test_hostile_and_swapped_manifests(spark, made, tmp_path):
     run = mine.backup(str(tmp_path / "s"))
     rows = [(1, "../escape.txt", 1, 0o644, 0, [])]
     spark.createDataFrame(rows, "ordinal long, path string, size long, mode long, mtime_ns long, chunks array<string>").write.mode("append").parquet(mine.folder.at(f"files/snapshot_id={run.snapshot_id}"))
-    with pytest.raises(UnsafePath, match="unsafe"):
+    with pytest.raises(UnsafePath, match="outside"):
         mine.restore(run.snapshot_id, str(tmp_path / "o"))
     assert not (tmp_path / "escape.txt").exists()
     mine.folder.put("snapshots/20240101T000000Z-ffffffff.json", json.dumps({"id": run.snapshot_id, "source": "s"}).encode())
-    with pytest.raises(IntegrityError, match="mismatched id"):
+    with pytest.raises(IntegrityError, match="names itself"):
         mine.load_snapshot("20240101T000000Z-ffffffff")
 
 
@@ -180,3 +180,45 @@ def test_table_as_source(spark, tmp_path):
     assert vault.backup_table(rows, "table", snapshot_id="99990101T000000Z-00000000").reused == 3
     vault.restore(run.snapshot_id, str(tmp_path / "o"))
     assert {k: v[0] for k, v in content(tmp_path / "o").items()} == {"a": b"x" * 9000, "b": b"", "c": b"x" * 9000}
+
+
+def test_a_killed_encrypted_run_leaves_no_names(spark, tmp_path, monkeypatch):
+    root = fill(tmp_path / "s", {f"payroll-{i}.bin": bytes([i]) * 50 for i in range(4)})
+    vault = Vault.open(spark, str(tmp_path / "v"), "pw", create=True)
+    monkeypatch.setattr(type(vault.folder), "drop", lambda self, key: None)
+    run = vault.backup(root)
+    assert any((tmp_path / "v/staging").rglob("*.parquet"))
+    assert not [p for p in (tmp_path / "v").rglob("*") if p.is_file() and b"payroll" in p.read_bytes()]
+    assert vault.restore(run.snapshot_id, str(tmp_path / "o"))["files"] == 4 and content(tmp_path / "o") == content(root)
+
+
+def test_cancelled_run_publishes_nothing(spark, tmp_path):
+    import threading
+
+    root = fill(tmp_path / "s", {f"{i}.bin": os.urandom(2000) for i in range(300)})
+    vault = Vault.open(spark, str(tmp_path / "v"), create=True)
+    said = []
+
+    def work():
+        try:
+            vault.backup(root, average=64)
+        except Exception as e:
+            said.append(e)
+
+    runner = threading.Thread(target=work)
+    runner.start()
+    while runner.is_alive() and not said:
+        vault.cancel()
+        runner.join(0.05)
+    assert [type(e) for e in said] == [Cancelled] and vault.list_snapshots() == [] and not (tmp_path / "v/staging").exists() or not os.listdir(tmp_path / "v/staging")
+    assert vault.backup(root).files == 300
+
+
+def test_get_chunk(made):
+    vault = made[1]
+    row = vault.chunks().select("chunk_id").first()
+    import hashlib
+
+    assert hashlib.sha256(vault.get_chunk(row["chunk_id"])).hexdigest() == row["chunk_id"]
+    with pytest.raises(NotFound):
+        vault.get_chunk("0" * 64)
