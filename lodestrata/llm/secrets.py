@@ -23,7 +23,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, stage
 
 _NEWLINE = r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t]*+"
 _BASE64 = r"""(?:[A-Za-z0-9+/]{32,}+={0,2}|[A-Za-z0-9+/]++={0,2}(?=[ \t]*+(?:[\r\n\\"'<]|$)))"""
@@ -213,7 +213,9 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int
     """A forest as SQL: one CASE over the features (fields of ``f``) for each tree, 1.0 for a secret."""
     made = features(F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")))
     names = list(made)
-    rows = findings.where("candidate is not null and is_secret is not null").limit(ROWS).select(*[x.alias(k) for k, x in made.items()], F.col("is_secret").cast("double").alias("label")).coalesce(1)
+    # both staged, so that the expressions that make the findings are not repeated in each feature's
+    rows = stage(findings.where("candidate is not null and is_secret is not null").limit(ROWS).select("candidate", "before", "after", "path", "is_secret"), "findings")
+    rows = stage(rows.coalesce(1).select(*[x.alias(k) for k, x in made.items()], F.col("is_secret").cast("double").alias("label")), "features").coalesce(1)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label").cache()
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3, featureSubsetStrategy="onethird").fit(rows)
     rows.unpersist()

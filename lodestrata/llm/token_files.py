@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,7 @@ class WordIds:
     nothing, A-Z may be lowered before; a single stop or comma after a plain letter or digit that ends a run has ids of its own.
     """
 
-    LIMIT, LONG = 500_000, 64
+    LIMIT, LONG, GROUP = 500_000, 64, 8 << 20
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would spin
@@ -59,37 +60,74 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
 
     @staticmethod
-    def runs(text: bytes | None) -> list[bytes]:
+    def _even(text: bytes | None) -> bytes:
         if not text:
-            return []
+            return b""
         low = text.lower()
         same = b"<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text.decode()) and unicodedata.is_normalized("NFC", low.decode()))
-        return (low if same else text).split()
+        return low if same else text
 
     def ids_of(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """For each UTF-8 text its ids and the end id. Runs that the table lacks are encoded in one call."""
+        """For each UTF-8 text its ids and the end id, made for groups of texts of bounded bytes."""
+        out: list[np.ndarray] = []
+        group, size = [], 0
+        for t in texts:
+            group.append(self._even(t))
+            size += len(group[-1])
+            if size >= self.GROUP:
+                out += self._group(group)
+                group, size = [], 0
+        return out + list(self._group(group)) if group else out
+
+    def _group(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        runs = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        coded = runs.flatten().dictionary_encode()
+        number, first = coded.indices.to_numpy(), runs.offsets.to_numpy()
+        known = self._known(coded.dictionary.cast(pa.large_binary()).to_pylist())
+        width = np.dtype(self.kind).itemsize
+        size = np.fromiter(map(len, known), np.int64, len(known)) // width
+        start, ids = np.cumsum(size) - size, np.frombuffer(b"".join(known), self.kind)
+        own = size[number]
+        end = np.concatenate(([0], np.cumsum(own)))
+        flat = ids[np.arange(end[-1]) + np.repeat(start[number] - end[:-1], own)]
+        cuts = end[first]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield np.append(flat[low:high], self.kind(END))
+
+    def _known(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of distinct runs, as bytes. Those that the table lacks are encoded in one call."""
         if len(self.new) >= self.LIMIT:
             self.old, self.new = self.new, {}
         known, before = self.new.get, self.old.get
-        split = [self.runs(t) for t in texts]
-        found = [list(map(known, runs)) for runs in split]
-        lacking = {r for runs, parts in zip(split, found, strict=True) if None in parts for r, p in zip(runs, parts, strict=True) if p is None}
-        here = {r: p for r in lacking if (p := before(r)) is not None}
-        stopped = {r: (r[:-1], r[-1:]) for r in lacking if r not in here and r[-1:] in (b".", b",") and r[-2:-1] in _PLAIN}
-        wanted = {x for pair in stopped.values() for x in pair} | {r for r in lacking if r not in here and r not in stopped}
+        found = list(map(known, runs))
+        here = {b"": b""}
+        stopped: dict[bytes, tuple[bytes, bytes]] = {}
+        wanted = set()
+        for r, p in zip(runs, found, strict=True):
+            if p is None and r:
+                p = before(r)
+                if p is not None:
+                    here[r] = p
+                elif r[-1:] in _STOPS and r[-2:-1] in _PLAIN:
+                    stopped[r] = r[:-1], r[-1:]
+                    wanted.update(stopped[r])
+                else:
+                    wanted.add(r)
+        fresh = []
         for r in wanted:
-            p = known(r) or before(r)
-            if p is not None:
+            p = known(r) or before(r) or here.get(r)
+            if p is None:
+                fresh.append(r)
+            else:
                 here[r] = p
-        fresh = [r for r in wanted if r not in here]
         for r, e in zip(fresh, self.tokenizer.encode_batch_fast([r.decode() for r in fresh], add_special_tokens=False), strict=True):
             here[r] = np.array(e.ids, self.kind).tobytes()
         here.update((r, here[x] + here[y]) for r, (x, y) in stopped.items())
         self.new.update((r, p) for r, p in here.items() if len(r) <= self.LONG)
-        end = self.kind(END).tobytes()
-        return [np.frombuffer(b"".join([here[r] if p is None else p for r, p in zip(runs, parts, strict=True)] if None in parts else parts) + end, self.kind) for runs, parts in zip(split, found, strict=True)]
+        return [here[r] if p is None else p for r, p in zip(runs, found, strict=True)]
 
 
+_STOPS = frozenset((b".", b","))
 _PLAIN = frozenset(bytes([x]) for x in b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -138,7 +176,7 @@ def _write(folder: str, path: str | None, length: int, id_type: pa.DataType):
                 files = fs.open_output_stream(f"{name}.arrow"), fs.open_output_stream(f"{name}.docs")
                 sink, index = pa.ipc.new_file(files[0], schema), pa.ipc.new_file(files[1], index_schema)
             starts, sizes = [], []
-            for ids in (x for at in range(0, len(batch), 256) for x in words.ids_of(batch.column(1).slice(at, 256).cast(pa.binary()).to_pylist())):
+            for ids in (x for at in range(0, len(batch), 1024) for x in words.ids_of(batch.column(1).slice(at, 1024).cast(pa.binary()).to_pylist())):
                 starts.append(total)
                 sizes.append(len(ids))
                 total += len(ids)
