@@ -138,10 +138,11 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
     URLs. Others: numbers, hashes named as such, ids, placeholders, dates, names and paths, and what else follows such
     names: types, references to variables, single words, numbers, and values of keys that open nothing.
     """
-    h = F.sha2(F.concat_ws(".", F.lit(str(seed)), "id"), 256)
-    hx = F.concat(h, F.sha2(F.concat(h, F.lit("b")), 256))
-    letters = F.regexp_replace(F.base64(F.unhex(hx)), "[+/=]", "x")
-    digits = F.translate(hx, "abcdef", "012345")
+    # the hash, what is spelled from it and the parts are columns, so that plans don't repeat them in each kind
+    base = spark.range(0, rows, 1, 1).withColumn("h", F.sha2(F.concat_ws(".", F.lit(str(seed)), "id"), 256))
+    base = base.withColumn("hx", F.concat("h", F.sha2(F.concat("h", F.lit("b")), 256)))
+    base = base.withColumns({"letters": F.regexp_replace(F.base64(F.unhex("hx")), "[+/=]", "x"), "digits": F.translate("hx", "abcdef", "012345")})
+    h, hx, letters, digits = map(F.col, ("h", "hx", "letters", "digits"))
 
     def one(values: list[str], at: int) -> Column:
         number = F.conv(F.substring(h, at, 4), 16, 10).cast("int")
@@ -169,6 +170,9 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
     user = F.concat(one(["postgres", "https", "mysql", "redis", "amqp", "mongodb+srv", "ftp", "http"], 13), F.lit("://"), one(["admin", "user", "root", "", "app", "svc1"], 17), F.lit(":"))
     pem = F.concat(F.lit("-----BEGIN "), one(["RSA ", "EC ", "", "OPENSSH ", "ENCRYPTED "], 29), F.lit("PRIVATE KEY-----"))
     host = one(["@db.internal:5432/app", "@localhost/x", "@10.0.0.5", "@cache-1:6379", "@example.org"], 25)
+    parts = {"word": word, "word2": word2, "named": named, "plain": plain, "code": code, "ids": ids, "path": path, "end": end, "size": size, "uuid": uuid, "short": short, "mark": mark, "passed": passed, "other": other, "pem": pem}
+    base = base.withColumns(parts)
+    word, word2, named, plain, code, ids, path, end, size, uuid, short, mark, passed, other, pem = map(F.col, parts)
     kinds: list[tuple[Column, ...]] = [
         (F.concat(F.initcap(word), F.substring(digits, F.lit(1), F.pmod(short, F.lit(4)) + 1)), passed, True),
         (F.concat(F.substring(letters, F.lit(3), short), F.substring(digits, 1, 1)), passed, True),
@@ -205,16 +209,16 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -
     ]
     pick = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(kinds)))
     chosen = F.array(*[F.struct(c.alias("candidate"), b.alias("before"), F.lit(y).cast("int").alias("is_secret"), (after[0] if after else end).alias("after")) for c, b, y, *after in kinds])
-    made = spark.range(0, rows, 1, 1).select(F.element_at(chosen, (pick + 1).cast("int")).alias("f"), path.alias("path"))
-    return made.select("f.candidate", "f.before", "f.after", "path", "f.is_secret")
+    made = base.select(F.element_at(chosen, (pick + 1).cast("int")).alias("f"), "path")
+    # staged, else a filter on these columns would repeat all that makes them
+    return stage(made.select("f.candidate", "f.before", "f.after", "path", "f.is_secret"), "findings")
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[str]:
     """A forest as SQL: one CASE over the features (fields of ``f``) for each tree, 1.0 for a secret."""
     made = features(F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit("")))
     names = list(made)
-    # both staged, so that the expressions that make the findings are not repeated in each feature's
-    rows = stage(findings.where("candidate is not null and is_secret is not null").limit(ROWS).select("candidate", "before", "after", "path", "is_secret"), "findings")
+    rows = findings.where("candidate is not null and is_secret is not null").limit(ROWS)
     rows = stage(rows.coalesce(1).select(*[x.alias(k) for k, x in made.items()], F.col("is_secret").cast("double").alias("label")), "features").coalesce(1)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", "label").cache()
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=3, featureSubsetStrategy="onethird").fit(rows)
