@@ -358,6 +358,21 @@ def test_small_groups_beside_a_hot_one_are_found():
     assert got[got["n"] > 0].set_index("a")["n"].sort_index().tolist() == want.tolist()
 
 
+def test_audit_without_links_plants_them():
+    """Queries without a link don't hide nodes that the graph can't reach, nor do their far neighbours widen the beam."""
+    rng = np.random.default_rng(7)
+    v, q = rng.normal(size=(3000, 32)), rng.normal(size=(128, 32))
+    v, q = (x / np.linalg.norm(x, axis=1)[:, None] for x in (v, q))
+    turned = near_vectors._turned(v, 0.95)
+    assert np.allclose((turned * v).sum(axis=1), 0.95, atol=2e-6) and ((turned * v).sum(axis=1) >= 0.95).all()
+    assert np.array_equal(near_vectors._turned(np.ones((2, 1)), 0.95), np.ones((2, 1)))
+    assert ((q @ v.T) >= 0.95).sum() == 0
+    rep, q_rep, graph = np.arange(len(v)), np.arange(len(v), len(v) + len(q)), Graph.build(v.astype(np.float32))
+    assert near_vectors._passes(rep, graph, q_rep, q, v, 0.95, near_vectors.BEAM)
+    cut = [np.where((np.arange(len(v)) < 1500)[:, None] & (x < 1500), x, -1) for x in graph.links[:1]]
+    assert not near_vectors._passes(rep, Graph(graph.vectors, cut, np.arange(1)), q_rep, q, v, 0.95, near_vectors.WIDEST)
+
+
 def test_nodes_of_a_level_above_join_from_others():
     rng = np.random.default_rng(8)
     v = rng.normal(size=(20_000, 8)).astype(np.float32)
