@@ -13,7 +13,8 @@ Plan, every table distributed and staged in the shared folder:
    are one. In the exact round members outside a bucket's largest component go to each of its blocks, all others to
    their own, so each pair that is not yet known to be connected meets in a cell. Where that were more than ``WIDE`` times
    a bucket's members, rounds with a pivot from among those outside and blocks dealt anew come before (``ROUNDS`` at most,
-   while they connect much);
+   while they connect much), over these buckets alone; what is still more goes to fewer, larger blocks, so rows stay in
+   proportion to a bucket's members;
 6. a cell skips pairs that are connected, drops pairs whose likelihood estimate is over four standard deviations below
    the limit, and confirms the rest on full sets; it returns a spanning forest of the confirmed links;
 7. components of these links, and the smallest id of each.
@@ -190,12 +191,12 @@ def _first_jobs(classes: DataFrame, buckets: DataFrame) -> DataFrame:
 def _connected(held: DataFrame, classes: DataFrame, jobs: DataFrame, num: int, den: int) -> DataFrame:
     """Components of the confirmed links: node, label. classes: row, n, keys, of all classes that share a band key."""
     edges = contracted(_met(held, jobs, num, den, 0, False), "a", "b", 1)
-    entries, turn, before = _entries(classes), 0, None
+    turn, before = 0, None
     while True:
         turn += 1
         labels = edges.groupBy(F.col("u").alias("row")).agg(F.min("v").alias("label"))
-        placed = classes.join(labels, "row", "left").select("row", F.coalesce("label", "row").alias("label"))
-        placed = entries.join(placed, "row") if turn > 1 else _entries(classes.join(placed, "row"), more=("label",))
+        placed = classes.join(labels, "row", "left").select("row", "n", "keys", F.coalesce("label", "row").alias("label"))
+        placed = _entries(placed, more=("label",))
         lot = F.xxhash64("row", F.lit(3))
         parts = placed.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("shingles"), F.sum(lot % F.lit(1 << 40)).alias("s1"), F.bit_xor(lot).alias("s2"))
         whole = [F.count("*").alias("parts"), F.sum("c").alias("members"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("main")]
@@ -204,30 +205,39 @@ def _connected(held: DataFrame, classes: DataFrame, jobs: DataFrame, num: int, d
         unsettled = unsettled.select("key", "main", "members", "s1", "s2", (F.col("members") - F.col("most")).alias("outside"), _blocks("members", "shingles"))
         # buckets of the same members are one
         unsettled = stage(unsettled.groupBy("members", "s1", "s2").agg(F.min(F.struct("key", "main", "outside", "blocks")).alias("x")).select("members", "x.*"), "unsettled")
-        here = placed.join(unsettled, "key")
         hard = (F.col("blocks") > 1) & (F.col("outside") * F.col("blocks") > WIDE * F.col("members"))
         left = unsettled.where(hard).agg(F.sum("outside")).first()[0] or 0
         exact = turn > ROUNDS or not left or before is not None and left > 0.7 * before
         before = left
-        if exact:
-            wide = (F.col("blocks") > 1) & (F.col("label") != F.col("main"))
-            kept = F.collect_list(F.struct("key", "band", "blocks", wide.alias("wide")))
-        else:
-            here = stage(here, "here")
-            entries = here.select("row", "n", "band", "key")
-            here = here.where(hard)
-            lot = F.struct(F.xxhash64("row", F.lit(turn)).alias("lot"), "row")
-            pivots = stage(here.where("label <> main").groupBy("key").agg(F.min(lot)["row"].alias("pivot")), "pivots")
-            here = here.join(pivots, "key")
-            job = lambda wide: F.struct("key", "band", "blocks", F.lit(wide).alias("wide"))
-            kept = F.concat(F.collect_list(F.when(F.col("row") == F.col("pivot"), job(True))), F.array(F.max_by(job(False), F.struct("outside", "key"))))
-        jobs = here.groupBy("row").agg(F.min("label").alias("label"), kept.alias("kept"))
+        jobs = _exact_jobs(placed, unsettled) if exact else _pivot_jobs(placed, unsettled.where(hard), turn)
         found = edges.select("u", "v").union(_met(held, jobs, num, den, turn, exact).select("a", "b"))
         if exact:
             return components(found, "u", "v")
         edges = contracted(found, "u", "v", 1)
 
 
+def _exact_jobs(placed: DataFrame, unsettled: DataFrame) -> DataFrame:
+    """Each class in all its unsettled buckets, in all blocks of those where it is outside the largest component. Blocks
+    are so few that this sends no bucket more than ``WIDE`` times over besides once: cells, which hold all that is
+    outside anyway, grow by one part in ``WIDE`` at most."""
+    few = F.least("blocks", F.greatest(F.floor(WIDE * F.col("members") / F.col("outside")), F.lit(1)))
+    here = placed.join(unsettled.withColumn("blocks", few), "key")
+    wide = (F.col("blocks") > 1) & (F.col("label") != F.col("main"))
+    return here.groupBy("row").agg(F.min("label").alias("label"), F.collect_list(F.struct("key", "band", "blocks", wide.alias("wide"))).alias("kept"))
+
+
+def _pivot_jobs(placed: DataFrame, hard: DataFrame, turn: int) -> DataFrame:
+    """Each class in one block of that hard bucket of its own with the most outside, and one class from outside the
+    largest component in all blocks of the bucket. Other buckets are not joined."""
+    here = stage(placed.join(hard, "key"), "here")
+    job = lambda wide: F.struct("key", "band", "blocks", F.lit(wide).alias("wide")).alias("job")
+    lot = F.struct(F.xxhash64("row", F.lit(turn)).alias("lot"), "row", "label", "band", "blocks")
+    pivots = here.where("label <> main").groupBy("key").agg(F.min(lot).alias("x")).select("key", "x.*")
+    own = here.groupBy("row").agg(F.min("label").alias("label"), F.max_by(job(False), F.struct("outside", "key")).alias("job"))
+    both = own.union(pivots.select("row", "label", job(True)))
+    return both.groupBy("row").agg(F.min("label").alias("label"), F.collect_list("job").alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, first.
 

@@ -85,6 +85,35 @@ def test_hot_groups_of_many_blocks_and_parts(spark, monkeypatch, step):
     assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows)
 
 
+def test_rows_stay_in_proportion_to_a_bucket(spark, monkeypatch):
+    """Many texts that share buckets and are hardly linked: neither the exact round nor those before it copy them by the
+    square of the group; rounds with pivots join hard buckets alone."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    common = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(common + [f"n{i}x{j}" for j in range(16)])) for i in range(200)] + [(200 + i, " ".join(common + [f"n{i}x{j}" for j in range(13)])) for i in range(100)]
+    sent, staged, stage, met = {}, [], near_dedup.stage, near_dedup._met
+
+    def watched(held, jobs, num, den, turn, exact):
+        sent[turn] = jobs.select(F.explode("kept").alias("x")).groupBy("x.key").agg(F.count("*").alias("members"), F.sum(F.when(F.col("x.wide"), F.col("x.blocks")).otherwise(1)).alias("copies")).collect()
+        return met(held, jobs, num, den, turn, exact)
+
+    def counted(df, tag):
+        out = stage(df, tag)
+        staged.append((tag, out))
+        return out
+
+    monkeypatch.setattr(near_dedup, "_met", watched)
+    monkeypatch.setattr(near_dedup, "stage", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows)
+    last = sent[max(sent)]
+    assert len(sent) > 2 and max(r["members"] for r in last) > 80
+    assert all(r["copies"] <= (1 + near_dedup.WIDE) * r["members"] for r in last)
+    hard = F.expr(f"blocks > 1 and outside * blocks > {near_dedup.WIDE} * members")
+    unsettled = [x.where(hard).agg(F.sum("members")).first()[0] for tag, x in staged if tag == "unsettled"]
+    assert [x.count() for tag, x in staged if tag == "here"] == unsettled[:-1]
+
+
 def test_deduplicated_keeps_one_whole_row(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(1, text, "a"), (1, text, "b"), (2, text + " z", "c"), (3, None, "d"), (4, None, "e")]
