@@ -179,12 +179,21 @@ class Graph:
         parts = [self._beam(0, x, self._descend(x, 1) if len(self.links) > 1 else np.broadcast_to(self.entry[:1], (len(x), 1)), beam) for x in (q[i : i + batch] for i in range(0, len(q), batch))]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def dump(self) -> bytes:
+    def dump(self, vectors: bool = True) -> bytes:
+        """The graph as bytes, without its vectors if ``load`` is given them; of upper levels the nodes with links."""
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, entry=self.entry, **{f"l{i}": x for i, x in enumerate(self.links)})
+        upper = {}
+        for i, x in enumerate(self.links[1:], 1):
+            upper[f"n{i}"] = np.flatnonzero((x >= 0).any(axis=1))
+            upper[f"l{i}"] = x[upper[f"n{i}"]]
+        np.savez(out, **({"vectors": self.vectors} if vectors else {}), entry=self.entry, l0=self.links[0], **upper)
         return out.getvalue()
 
     @classmethod
-    def load(cls, data: bytes) -> Graph:
+    def load(cls, data: bytes, vectors: np.ndarray | None = None) -> Graph:
         with np.load(io.BytesIO(data)) as z:
-            return cls(z["vectors"], [z[f"l{i}"] for i in range(len(z.files) - 2)], z["entry"])
+            links = [z["l0"]]
+            for i in range(1, sum(name.startswith("l") for name in z.files)):
+                links.append(np.full((len(links[0]), z[f"l{i}"].shape[1]), -1, np.int32))
+                links[i][z[f"n{i}"]] = z[f"l{i}"]
+            return cls(z["vectors"] if vectors is None else vectors, links, z["entry"])

@@ -1,8 +1,10 @@
 """Embedding near-dedup (operator 6): a navigable small-world graph for each shard, queried by every vector.
 
 1. Rows of equal vectors fold into one class (a hash aggregate over two hashes of the vector).
-2. Classes are dealt to shards by a hash; each shard's graph is built in one task and written to the shared folder.
-3. Every block of classes queries every shard: an equi-join on the cell (shard, block). A query whose beam is full of
+2. Classes are dealt to shards by a hash; each shard's graph is built in one task and written to a file in the shared
+   folder, as are its vectors. Neither is ever a row: no executor's heap, sort or shuffle holds one.
+3. Every shard's vectors query every shard, by cells of a shard and a block: a task loads one graph and reads the
+   vectors of one shard after another. A query whose beam is full of
    links is searched again with twice the beam, until the beam ends below the limit, so large groups are counted whole.
    A sample of each cell's queries is compared with brute force over the shard, in strata by the number of links, each
    query's own vector aside, and so is a sample of the shard's vectors turned until their cosine is the limit, so that
@@ -19,15 +21,17 @@ its ids are null.
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stage
+from .common import load, stage, work_path
 from .components import components
 from .hnsw import Graph
 from .topk import usable
@@ -38,10 +42,10 @@ SHARD, BLOCK, SHARDS = 50_000, 10_000, 6
 BEAM, WIDEST, RECALL, AUDIT = 32, 256, 0.98, 128
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    v = np.array(vectors.tolist(), np.float64)
-    v = v / np.abs(v).max(axis=1)[:, None]
-    return v / np.sqrt((v * v).sum(axis=1))[:, None]
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    v = vectors / np.abs(vectors).max(axis=1)[:, None].astype(np.float64)
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    return v
 
 
 def _confirmed(q: np.ndarray, v: np.ndarray, ids: np.ndarray, sims: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +111,7 @@ def _turned(v: np.ndarray, limit: float) -> np.ndarray:
 
 def _recalled(rep: np.ndarray, graph: Graph, q_rep: np.ndarray, q: np.ndarray, v: np.ndarray, limit: float, beam: int) -> bool:
     """Whether the beam finds ``RECALL`` of a query's links on average, in each stratum of queries by number of links."""
-    sims = q @ v.T
-    sims[q_rep[:, None] == rep[None, :]] = -np.inf
-    links = (sims >= limit).sum(axis=1)
+    links = np.concatenate([((q[i : i + 32] @ v.T >= limit) & (q_rep[i : i + 32, None] != rep)).sum(axis=1) for i in range(0, len(q), 32)])
     got = np.zeros(len(q), np.int64)
     for at, to in _found(graph, q, v, beam, limit):
         other = q_rep[at] != rep[to]
@@ -152,10 +154,54 @@ def search_cell(rep: np.ndarray, count: np.ndarray, graph: Graph, q_rep: np.ndar
     return pd.DataFrame({"a": np.concatenate((q_rep[linked], rep[tied])), "b": np.concatenate((rep[some[linked]], rep[up[tied]])), "n": np.concatenate((n_links[linked], np.zeros(len(tied), np.int64)))})
 
 
-def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep", ignore_index=True)
-    graph = Graph.build(_unit(pdf["v"]).astype(np.float32))
-    return pd.DataFrame({"shard": [key[0]], "rep": [pdf["rep"].to_numpy(np.int64).tobytes()], "count": [pdf["count"].to_numpy(np.int64).tobytes()], "v": [np.array(pdf["v"].tolist(), np.float64).tobytes()], "graph": [graph.dump()]})
+def _build(folder: str):
+    """A shard's classes to two files in ``folder``: its vectors and its graph."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", ignore_index=True)
+        v = np.array(pdf["v"].tolist(), np.float64)
+        with np.errstate(over="ignore"):
+            short = v.astype(np.float32)
+        held = io.BytesIO()
+        np.savez(held, rep=pdf["rep"].to_numpy(np.int64), count=pdf["count"].to_numpy(np.int64), v=short if (short == v).all() else v)
+        graph = Graph.build(_unit(v).astype(np.float32)).dump(vectors=False)
+        name = f"{key[0]}-{uuid.uuid4().hex[:12]}"  # a task that runs again leaves the files of the first alone
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root)
+        for kind, data in (("rows", held.getbuffer()), ("graph", graph)):
+            with fs.open_output_stream(f"{root}/{name}.{kind}") as f:
+                f.write(data)
+        return pd.DataFrame({"shard": [key[0]], "name": [name]})
+
+    return run
+
+
+def _read(folder: str, name: str, kind: str) -> bytes:
+    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{root}/{name}.{kind}") as f:
+        return f.read()
+
+
+def _rows(folder: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with np.load(io.BytesIO(_read(folder, name, "rows"))) as z:
+        return z["rep"], z["count"], _unit(z["v"])
+
+
+def _searched(folder: str, names: list[str], parts: int, limit: float):
+    """Numbers of tasks to links: task i searches the shard ``i // parts`` for the vectors of each ``parts``-th shard, which
+    it reads from the files one after another."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for i in (int(x) for b in batches for x in b["id"]):
+            rep, count, v = _rows(folder, names[i // parts])
+            graph = Graph.load(_read(folder, names[i // parts], "graph"), v.astype(np.float32))
+            for name in names[i % parts :: parts]:
+                q_rep, _, q = _rows(folder, name)
+                blocks = -(-len(q) // BLOCK)
+                for j in range(blocks):
+                    yield search_cell(rep, count, graph, q_rep[j::blocks], q[j::blocks], v, limit)
+
+    return run
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = LIMIT, shard_size: int = SHARD) -> DataFrame:
@@ -188,20 +234,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 
 def _search_length(reps: DataFrame, n: int, limit: float, shard_size: int) -> DataFrame:
-    shards, blocks = max(SHARDS, -(-n // shard_size)), max(SHARDS, -(-n // BLOCK))
+    spark, folder = reps.sparkSession, work_path(reps.sparkSession, "graphs")
+    shards = max(SHARDS, -(-n // shard_size))
     dealt = reps.select("rep", "count", "v", F.pmod(F.xxhash64("rep", F.lit(11)), F.lit(shards)).cast("int").alias("shard"))
-    graphs = stage(dealt.groupBy("shard").applyInPandas(_build, "shard int, rep binary, count binary, v binary, graph binary"), "graphs")
-    asked = reps.select("rep", "v", F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(g):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64")})
-        rep, count = (np.frombuffer(g[c].iloc[0], np.int64) for c in ("rep", "count"))
-        v = _unit(pd.Series(list(np.frombuffer(g["v"].iloc[0], np.float64).reshape(len(rep), -1))))
-        return search_cell(rep, count, Graph.load(g["graph"].iloc[0]), q["rep"].to_numpy(np.int64), _unit(q["v"]), v, limit)
-
-    return asked.groupBy("shard", "block").cogroup(graphs.groupBy("shard", "block")).applyInPandas(search, "a long, b long, n long")
+    built = stage(dealt.groupBy("shard").applyInPandas(_build(folder), "shard int, name string"), "built")
+    names = [r["name"] for r in built.orderBy("shard").collect()]
+    parts = min(SHARDS, len(names))
+    tasks = spark.range(0, len(names) * parts, 1, len(names) * parts)
+    return tasks.mapInPandas(_searched(folder, names, parts, limit), "a long, b long, n long")
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,35 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(vectors(spark, BAD)).count() == len(BAD)
 
 
+def test_no_row_holds_a_graph(spark, monkeypatch):
+    """Graphs and shards of vectors are files: rows of all stages stay small however large a shard is."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 16))
+    rows = [(i, (base[i % 40] + 0.1 * rng.normal(size=16)).tolist(), 0) for i in range(600)] + [(600 + i, (1e10 * rng.normal(size=16)).tolist(), 0) for i in range(5)] + [(700, [1.0, 0.0], 0), (701, [1.0, 0.01], 0)]
+    staged, stage = [], near_vectors.stage
+
+    def watched(df, tag):
+        staged.append(stage(df, tag))
+        return staged[-1]
+
+    monkeypatch.setattr(near_vectors, "stage", watched)
+    monkeypatch.setattr(near_vectors, "BLOCK", 30)
+    got = near_vectors.near_vectors(vectors(spark, rows), shard_size=60).collect()
+    assert sorted(((r["id"], r["n_links"], r["component_id"]) for r in got), key=repr) == brute_links(rows)
+    assert len(staged) > 3 and not [f for df in staged for f in df.schema if f.dataType.typeName() == "binary"]
+    wide = spark.createDataFrame([(1, [1e300, 0.0]), (2, [1e300, 1e299]), (3, [0.1, 0.9])], "vec_id long, embedding array<double>")
+    assert sorted((r["id"], r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(wide).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_graph_without_its_vectors_is_the_same():
+    v = np.random.default_rng(10).normal(size=(3000, 8)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    g = Graph.build(v)
+    h = Graph.load(g.dump(vectors=False), v)
+    assert len(g.links) == len(h.links) > 1 and all((a == b).all() for a, b in zip(g.links, h.links, strict=True))
+    assert (g.entry == h.entry).all() and len(g.dump(vectors=False)) < len(g.dump()) - v.nbytes // 2
+
+
 def test_graph_finds_neighbours():
     rng = np.random.default_rng(4)
     v = rng.normal(size=(3000, 32)).astype(np.float32)
