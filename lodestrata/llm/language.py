@@ -67,15 +67,21 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+def _parts(rows: pa.Array | pa.RecordBatch, size: int = 512) -> Iterator:
+    """A batch in parts, so that few of its texts are Python objects at a time."""
+    return (rows.slice(start, size) for start in range(0, len(rows), size))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, gram, n), summed over each batch."""
     for batch in batches:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            k, n = ngrams(text)
-            if len(k):
-                old = sums.get(lang)
-                sums[lang] = (k, n) if old is None else _fold(np.concatenate((old[0], k)), np.concatenate((old[1], n)))
+        for part in _parts(batch):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                k, n = ngrams(text)
+                if len(k):
+                    old = sums.get(lang)
+                    sums[lang] = (k, n) if old is None else _fold(np.concatenate((old[0], k)), np.concatenate((old[1], n)))
         for lang, (k, n) in sums.items():
             yield pa.record_batch([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
@@ -131,23 +137,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def _predict(model: Profiles):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [model.predict(t) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["rec", "lang_pred", "score"])
+    def run(texts: pa.Array) -> pa.Array:
+        got = [model.predict(t) for part in _parts(texts) for t in part.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
 
-    return run
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()  # else a filter on it runs it again
 
 
 def predicted(docs: DataFrame, model: Profiles, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Every row as ``rec`` (a struct of the columns in ``keep``, by default all), lang_pred and score.
 
     lang_pred is ``und`` and score 0 where the text is null or has no letter, or nothing was learned. score is 1 less
-    the distance's share of the largest possible one.
+    the distance's share of the largest possible one. Only texts go to Python, once each; the rows stay where they are.
     """
-    packed = docs.select(F.col(text_col).alias("text"), F.struct(*(keep or ["*"])).alias("rec"))
-    schema = packed.select("rec", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("score")).schema
-    return packed.mapInArrow(_predict(model), schema)
+    rows = docs.select(F.struct(*(keep or ["*"])).alias("rec"), _predict(model)(F.col(text_col)).alias("found"))
+    return rows.select("rec", "found.lang_pred", "found.score")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,22 +32,18 @@ SEED = 20240611
 BUCKET = 4096
 #: How many lengths the dynamic programme is given at first; its most steps times totals once that is not enough.
 ITEMS, WORK = 64, 1 << 29
-
+#: Bytes of texts whose words are counted at a time.
+PIECE = 1 << 20
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def count_words(texts: pa.Array) -> np.ndarray:
-    """Number of words of each text, runs of anything but ASCII white space; 0 for null."""
-    texts = texts.cast(pa.large_binary()).fill_null(b"")
-    _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    out = np.zeros(len(texts), np.int64)
-    if data is None or not len(texts) or at[-1] == at[0]:
+def _piece_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Number of words of each of consecutive texts. at: where each starts, and where the last one ends."""
+    out = np.zeros(len(at) - 1, np.int64)
+    if not len(data):
         return out
-    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
     inside = ~_BREAK[data]
     start = inside.copy()
     start[1:] &= ~inside[:-1]
@@ -57,6 +53,23 @@ def count_words(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def count_words(texts: pa.Array) -> np.ndarray:
+    """Number of words of each text, runs of anything but ASCII white space; 0 for null. In pieces of bounded size, or of
+    one text."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    out = np.zeros(len(texts), np.int64)
+    if data is None or not len(texts):
+        return out
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data, low = np.frombuffer(data, np.uint8), 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + PIECE, side="right")) - 1)
+        out[low:high] = _piece_counts(data[at[low] : at[high]], at[low : high + 1] - at[low])
+        low = high
+    return out
+
+
 @F.arrow_udf(LongType())
 def _size(texts: pa.Array) -> pa.Array:
     return pa.array(count_words(texts), pa.int64())

@@ -138,8 +138,9 @@ def _confirm(num: int, den: int, exact: bool):
             got = _links_of_cell(rows, num, den, exact) if len(rows) > 1 else []
             return pa.record_batch([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        parts = (batch.slice(start, 512) for batch in batches for start in range(0, len(batch), 512))  # few rows are Python objects at a time
+        for part in parts:
+            for key, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (key, row[0]) != at:
                     if rows:
                         yield links()

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -159,3 +161,21 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect())
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 103: 100, **dict.fromkeys(range(200, 260), 200)}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_cells_hold_few_rows_as_objects():
+    n, rng = 6000, np.random.default_rng(5)
+    sets = [np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64)) for _ in range(n // 2)]
+    regs = setsketch.sketch(sets)
+    at = np.repeat(np.arange(n // 2), 2)  # each cell holds a set twice; cells of 2 rows lie across the parts of a batch
+    kept = pa.array([[{"key": int(c), "band": b, "blocks": 1, "wide": False} for b in range(32)] for c in at])
+    columns = [pa.array(at), pa.array([0] * n), pa.array([False] * n), pa.array(range(n)), pa.array(range(n)), pa.array([0] * n), kept]
+    columns += [pa.array([regs[c].tobytes() for c in at]), pa.array([sets[c].tobytes() for c in at])]
+    whole = pa.record_batch(columns, ["key", "block", "wide", "row", "label", "band", "kept", "regs", "shingles"])
+    tracemalloc.start()
+    try:
+        links = [(a, b) for out in near_dedup._confirm(80, 100, True)(iter([whole.slice(0, 1), whole.slice(1)])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+        assert tracemalloc.get_traced_memory()[1] < 16 << 20
+    finally:
+        tracemalloc.stop()
+    assert sorted(sorted(x) for x in links) == [[2 * i, 2 * i + 1] for i in range(n // 2)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -35,6 +36,18 @@ def test_word_count():
         assert mixing.count_words(part).tolist() == [len((t or "").encode().split()) for t in part.to_pylist()]
 
 
+def test_count_words_holds_few_bytes():
+    texts = pa.array(["some words of a text " * 200, None, "", "x" * 1_000_000, "a b\n"] * 8 + ["words " * 600] * 8000)
+    want = [len((t or "").split()) for t in texts.to_pylist()]
+    tracemalloc.start()
+    try:
+        got = mixing.count_words(texts)
+        assert tracemalloc.get_traced_memory()[1] < 24 << 20
+    finally:
+        tracemalloc.stop()
+    assert got.tolist() == want
+
+
 # Secrets
 
 

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lodestrata.llm import html_text, language, piece_bpe, token_files
 from lodestrata.llm.common import work_path
 
@@ -242,3 +243,15 @@ def test_op10_odd_rows(odd_documents):
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["rec"]["text"] or "")) and 0 <= r["score"] <= 1
     nothing = language.train(odd_documents.where("false"))
     assert {r["lang_pred"] for r in language.predicted(odd_documents, nothing).collect()} == {"und"}
+
+
+def test_only_texts_go_to_python(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    out = corpus_pipeline.language_id(spark, docs, tables)
+    rows, nodes = out.collect(), [out._jdf.queryExecution().executedPlan()]
+    assert sorted(rows, key=lambda r: r["doc_id"]) == sorted(docs.collect(), key=lambda r: r["doc_id"])
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    moved = [[node.metrics().apply(m).value() for m in ("pythonDataSent", "pythonDataReceived")] for node in nodes if node.metrics().contains("pythonDataSent")]
+    assert len(moved) == 1 and size <= moved[0][0] < 1.2 * size and moved[0][1] < 0.2 * size
